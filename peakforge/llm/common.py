@@ -61,3 +61,35 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def word_count(text: Column) -> Column:
     """Runs of characters other than blanks; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def utf8(column):
+    """The bytes of an Arrow text column, and where each row's bytes start (one more entry at the end); nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = column.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    if not len(values) or data is None:
+        return b"", np.zeros(len(values) + 1, dtype=np.int64)
+    return data[int(bounds[0]) : int(bounds[-1])].to_pybytes(), bounds - bounds[0]
+
+
+def slices(batches, chars: int = 4_000_000, rows: int = 2_000, column: int = 1):
+    """Arrow batches cut so that a slice has about so many bytes of text at most, but one row at least."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + chars, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to

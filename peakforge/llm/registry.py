@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import language_id, licenses, mixing, near_dedup, quality_rules, secrets, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op5_secrets": secrets.op5_secrets,
+    "op6_licenses": licenses.op6_licenses,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 SQL: dict[str, str] = {}
