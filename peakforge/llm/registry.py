@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, mixing, near_dedup, quality_rules, secrets, sharding
+from . import decontamination, language_id, licenses, mixing, near_dedup, quality_rules, rule_ensemble, secrets, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_classifier": rule_ensemble.op3_quality_classifier,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_secrets": secrets.op5_secrets,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality_rules": quality_rules.op7_quality_rules,
