@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, licenses, mixing, near_dedup, quality_rules, rule_ensemble, secrets, sharding
+from . import decontamination, language_id, licenses, mixing, near_dedup, quality_rules, rule_ensemble, secrets, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": rule_ensemble.op3_quality_classifier,
     "op4_decontamination": decontamination.op4_decontamination,
