@@ -83,7 +83,7 @@ def mix(
     prefix = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = staged(
         sums.withColumn("before", prefix)
-        .join(F.broadcast(aims) if False else aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        .join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s"),
         "mix-plan",
     )
