@@ -151,7 +151,7 @@ def add_remark(remarks: DataFrame, spec_id: int, text: str) -> DataFrame:
 def cached_neighbors(tnn: DataFrame, archive_size: int, topk: int, min_dp: float) -> DataFrame:
     """Stored true neighbours that serve the request: same archive, at least as many, at most as strict."""
     usable = tnn.where((F.col("archivesize") == archive_size) & (F.col("topk") >= topk) & (F.col("mindp") <= min_dp))
-    newest = usable.groupBy("query_id").agg(F.max_by("tnn", "date").alias("tnn"))
+    newest = usable.groupBy("query_id").agg(F.max_by("tnn", F.struct(F.col("date"), F.col("topk"))).alias("tnn"))
     cut = F.filter("tnn", lambda x: x["score"] > int(min_dp * 42925))
     return newest.select("query_id", F.slice(cut, 1, topk).alias("tnn"))
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.config import MAX_PEAKS
 
@@ -94,12 +95,12 @@ def decode_array(text: str | None, bits: int, compressed: bool, big_endian: bool
     return np.frombuffer(raw, dtype=np.dtype("f8" if bits == 64 else "f4").newbyteorder(">" if big_endian else "<")).astype(np.float64)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decoded(text: pd.Series, bits: pd.Series, compressed: pd.Series) -> pd.Series:
     return pd.Series([decode_array(t, b, c) for t, b, c in zip(text, bits, compressed)])
 
 
-@F.pandas_udf("array<struct<mz:double,intensity:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])))
 def decoded_pairs(text: pd.Series, bits: pd.Series, compressed: pd.Series) -> pd.Series:
     out = []
     for t, b, c in zip(text, bits, compressed):
