@@ -4,7 +4,8 @@ Every document gets the key -ln(u) / w, u a hash of its id in (0, 1) and w its
 quality weight. Within a source, complete epochs take all documents; the rest of
 the target takes documents in the order of their keys, as far as the prefix sum
 of their sizes reaches the budget. A boundary document is taken if more than
-half of it fits, so a source misses its target by at most half a document.
+half of it fits; where words are still missing, the one document left whose size
+comes nearest to the gap closes it.
 
 Prefix sums run in two levels: (source, key bucket) sums first, then only the
 one bucket per source in which the budget ends is sorted. A source that holds
@@ -70,7 +71,7 @@ def mix(
     text = F.col(text_col)
     key = -F.log(uniform(F.col(id_col), F.lit(seed))) / quality_weight(text)
     slim = staged(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key")).withColumn(
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")).withColumn(
             "bucket", F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key"))))).cast("int")
         ),
         "mix-documents",
@@ -94,7 +95,14 @@ def mix(
     order = W.partitionBy("source", "bucket").orderBy("key", "id").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     cut = rows.where(ends_here).withColumn("more", (start + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    out = whole.unionByName(cut).withColumn("repeats", F.col("epochs") + F.col("more"))
+    columns = ["id", "source", "row", "key", "size", "source_size", "target", "rest", "epochs", "more"]
+    out = staged(whole.select(columns).unionByName(cut.select(columns)), "mix-chosen")
+    gaps = out.groupBy("source").agg((F.min("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s")
+    gaps = staged(gaps, "mix-gaps")
+    gaps = bounded_broadcast(gaps, gaps.count(), BROADCAST_ROWS)
+    left = out.where("more = 0 and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("s"))).where("gap > 0 and size < 2 * gap")
+    closing = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "row")).alias("c")).select(F.col("c.row").alias("row"), F.lit(1).alias("closes"))
+    out = out.join(closing, "row", "left").withColumn("repeats", F.col("epochs") + F.col("more") + F.coalesce("closes", F.lit(0)))
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")
     )
