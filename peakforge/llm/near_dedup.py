@@ -11,10 +11,11 @@ documents with an empty coordinate throw on with a higher limit.
 Equal texts collapse to the smallest id before any join. Bands of four
 coordinates are bucket keys; every bucket links its members to a leader rather
 than to each other, links are checked against whole shingle sets, and linked
-documents form classes. Buckets whose members are not yet in one class choose
-new leaders, round after round, so that links that the first leader did not see
-are found. No pair within a bucket is formed but with a leader, so a bucket that
-holds a third of all rows costs as many pairs as it has members.
+documents form classes. Buckets that still hold several classes choose another
+leader, and what then remains is compared whole: in blocks of a bounded number
+of documents, pairs of blocks at a time, only between classes, and a block gives
+back no more links than join its classes. No pairs within a bucket are formed as
+rows, and a bucket of one class, however large, costs as many pairs as members.
 
 Null, empty and blank texts have no shingles and are classes of their own, as
 documents with a null id are. Texts of one to four words are one shingle. Rows
@@ -33,7 +34,9 @@ from .shingles import MASK, mix, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-ROUNDS = 4
+ROUNDS = 2
+#: Documents in a block, and columns of the block's matrix that are multiplied at once.
+BLOCK, COLUMNS = 256, 4096
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -176,8 +179,79 @@ def classes_of(links: DataFrame) -> DataFrame:
     return found
 
 
+def joining_links(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int, float]]:
+    """Links between documents of different classes, one for each two classes that they join, from whole sets."""
+    m = len(ids)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, (_, column) = owner[shared], np.unique(column[shared], return_inverse=True)
+    both = np.zeros((m, m), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - first)), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        both += part @ part.T
+    alike = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+    at = {c: c for c in classes.tolist()}
+
+    def find(c):
+        while at[c] != c:
+            c = at[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu((alike >= similarity - 1e-6) & (classes[:, None] != classes[None, :])))):
+        a, b = find(int(classes[i])), find(int(classes[j]))
+        if a != b and both[i, j] >= similarity * (sizes[i] + sizes[j] - both[i, j]):
+            at[max(a, b)] = min(a, b)
+            links.append((int(ids[i]), int(ids[j]), float(alike[i, j])))
+    return links
+
+
+def block_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, similarity) between the classes of buckets that hold several; buckets of the same members are taken once."""
+    placed = buckets.withColumn("class", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = placed.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.shiftright(F.xxhash64("id"), 8)).alias("s1"), F.bit_xor(F.xxhash64("id")).alias("s2")
+    )
+    # of two members the leader was one
+    once = several.where("n > 2 and low <> high").groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    each = placed.join(once, "band").withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "class").join(sets, "id")
+    dealt = each.select("band", "x", "y", "id", "class", "members").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(held):
+            ids, classes = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+            sets = [np.pad(np.frombuffer(r[3], dtype=np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel() for r in held]
+            found = joining_links(ids, classes, sets, similarity)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"]
+            )
+
+        held, last = [], None
+        for batch in batches:
+            for row in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
+                if row[0] != last and held:
+                    yield links(held)
+                    held = []
+                last = row[0]
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """One row a row of docs: id, class_id (the smallest id of its class), n_links of its text, n_shingles."""
+    """One row a row of docs: id, class_id (the smallest id of its class), n_shingles."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = staged(sketch(plain), "sketches")
     some = rows.where("runs > 0 and id is not null")
@@ -212,16 +286,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = pairs if tried is None else tried.unionByName(pairs)
         if new.limit(1).count():
             labels = classes_of(links)
-    labels = classes_of(links) if labels is None else labels
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    rest = staged(block_links(buckets, labels, sets, similarity), "rest")
+    if labels is None or rest.limit(1).count():
+        labels = classes_of(links.unionByName(rest))
     of_id = (
         members.select("id", "rep")
         .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select("id", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("id", F.coalesce("class", "rep").alias("class_id"))
     )
     out = rows.select("id", "runs").join(of_id, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("runs").alias("n_shingles"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.col("runs").alias("n_shingles"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

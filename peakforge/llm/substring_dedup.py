@@ -40,8 +40,10 @@ from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 16
 #: An anchor with so many occurrences is cut into pieces of so many windows.
-PIECES = ((100_000, 1), (1_000, 16))
+PIECES = ((20_000, 1), (1_000, 16))
 SHARD_BYTES = 1_000_000
+#: Bytes of text that are hashed at once; some twenty arrays of eight bytes a byte live beside them.
+SLICE_BYTES = 1_000_000
 FIRST = -(1 << 63)
 
 
@@ -98,7 +100,7 @@ def anchor_hashes(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches):
+        for batch in slices(batches, chars=SLICE_BYTES):
             text, _, _, _, value, _ = anchors(*utf8(batch.column(1)))
             order = np.lexsort((value, text))
             text, value = text[order], value[order]
@@ -121,7 +123,7 @@ def window_strings(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, column=2):
+        for batch in slices(batches, chars=SLICE_BYTES, column=2):
             data, bounds = utf8(batch.column(2))
             text, lo, hi, anchor, value, hashes = anchors(data, bounds)
             found = batch.column(3)
@@ -221,18 +223,21 @@ def marked(strings: DataFrame) -> DataFrame:
             key = batch.column(0).to_numpy()
             strings = batch.column(7).to_pylist()
             columns = {c: batch.column(k).to_numpy() for c, k in (("key", 0), ("same", 1), ("id", 2), ("t", 3), ("start", 4), ("n", 5))}
-            edges = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            begin = 0
-            weight = np.cumsum([len(s) + 16 if s is not None else 16 for s in strings])
-            done = 0
-            for end in edges:
-                # a shard ends where a key does
-                if held and size >= SHARD_BYTES and key[begin] != last:
+            edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # ends of runs of one key
+            upto = np.cumsum([len(s) + 16 if s is not None else 16 for s in strings])[edges - 1]
+            if held and size >= SHARD_BYTES and key[0] != last:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard(held)], names=names)
+                held, size = [], 0
+            begin, done, last = 0, 0, key[-1]
+            while begin < len(key):
+                k = min(int(np.searchsorted(upto, done + SHARD_BYTES - size)), len(edges) - 1)
+                end = int(edges[k])
+                held.append({c: v[begin:end] for c, v in columns.items()} | {"string": strings[begin:end]})
+                size += int(upto[k]) - done
+                begin, done = end, int(upto[k])
+                if size >= SHARD_BYTES and end < len(key):  # a shard ends where a key does
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard(held)], names=names)
                     held, size = [], 0
-                held.append({c: v[begin:end] for c, v in columns.items()} | {"string": strings[begin:end]})
-                size += int(weight[end - 1]) - done
-                done, begin, last = int(weight[end - 1]), end, key[end - 1]
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard(held)], names=names)
 
