@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, read
 
 #: Common words of the four languages that running text has.
 STOP_WORDS = (
@@ -185,10 +185,22 @@ def kept_documents(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS) -> DataF
 
 
 def op7_quality_rules(spark, sf_dir):
-    from .common import read
-
     out = judge(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed",
-        "upper_ratio", "dup_line_ratio", "stop_ratio",
-    )
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)),
+r as (select doc_id, count(distinct i + j) n from (select doc_id, i, count(*) over (partition by doc_id, g) c from g), (values (0), (1), (2)) t(j) where c > 1 group by 1),
+m as (
+  select w.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(r.n, 0) n_repeat_words,
+    len(ls) n_lines, len(regexp_extract_all(t, '!')) n_bangs, len(regexp_extract_all(t, '\p{{Lu}}')) n_upper, len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) n_stop
+  from w left join r on r.doc_id = w.doc_id),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, greatest(n_words, 1) one from m)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
+  not base_failed and n_symbols / one <= 0.1 and word_chars / one between 2.5 and 12 and n_upper / greatest(word_chars, 1) <= 0.3 and n_bangs / one <= 0.3
+    and n_dup_lines / greatest(n_lines, 1) <= 0.5 and n_stop / one >= 0.01 kept
+from v
+"""

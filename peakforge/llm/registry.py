@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_quality_rules": quality_rules.OP7_SQL}

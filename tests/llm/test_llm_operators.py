@@ -450,3 +450,13 @@ def test_shingles_do_not_cross_texts():
     assert n.tolist() == [2, 2] and a[0] == a[3] and a[1] == a[2]
     s, runs = shingles.shingle_hashes(a, n)
     assert runs.tolist() == [1, 1] and s[0] != s[1]
+
+
+def test_quality_rules_against_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = quality_rules.op7_quality_rules(spark, sf)
+    expected = c.sql(f"select {', '.join(got.columns)} from ({quality_rules.OP7_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
