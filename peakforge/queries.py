@@ -178,6 +178,16 @@ def true_nn(spark, d):
     return score.true_neighbors(_scored(spark, d), 0.1, 10).select("query_id", "idx", "rank", "score")
 
 
+@query(
+    f"select rank, found, total, (sum(found) over (order by rank))::bigint cumulative_found, (sum(total) over (order by rank))::bigint cumulative_total from (select t.rank, count(f.idx)::bigint found, count(*)::bigint total "
+    f"from (select * from ({TRUE_NN}) where rank <= 10) t left join (select query_id, idx from nn where rank <= 5) f using (query_id, idx) group by 1)",
+    "scored", "nn",
+)
+def true_nn_recall(spark, d):
+    s = _scored(spark, d)
+    return score.recall_at(score.top_n(s.where("n_peaks > 6"), 5), score.true_neighbors(s, 0.1, 10))
+
+
 @query("select query_id, arg_min(idx, row(dist, idx)) idx, round(min(dist), 6) dist from scored where idx <> query_id group by 1", "scored")
 def nearest_other(spark, d):
     return score.nearest(_scored(spark, d).where("idx <> query_id")).select("query_id", "idx", r6("dist", "dist"))

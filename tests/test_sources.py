@@ -156,6 +156,10 @@ def test_archive(spark, tmp_path):
     assert '"nodes"' in a.graph(a.queries([0])).first().json
     assert a.p_values(a.queries([0]), a.search(a.queries([0]))).first().p == 10000
     assert a.batch_search(a.queries([0])).count() == 0
+    a.store_neighbors(0, 2)
+    stored = {r.id: r.neighbor for r in a.table("ground_truth").collect()}
+    assert len(stored[0]) == 4 and stored[3] is None
+    assert a.recall(a.queries([0]), near_ids := a.search(a.queries([0]))).first().found == 1 and near_ids.count() == 5
     a.add_remark(3, "look")
     assert a.remarks(3).first().remarks == "look" and a.summary().count() > 0 and a.to_repair().count() == 0
     a.add(df.withColumn("file", F.lit("/x/two.mgf")))
