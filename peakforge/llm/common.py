@@ -34,7 +34,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a staged df that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -76,7 +85,7 @@ def utf8(column):
     return data[int(bounds[0]) : int(bounds[-1])].to_pybytes(), bounds - bounds[0]
 
 
-def slices(batches, chars: int = 4_000_000, rows: int = 2_000, column: int = 1):
+def slices(batches, chars: int = 1_500_000, rows: int = 2_000, column: int = 1):
     """Arrow batches cut so that a slice has about so many bytes of text at most, but one row at least."""
     import numpy as np
     import pyarrow as pa

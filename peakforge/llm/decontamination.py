@@ -214,7 +214,7 @@ def _search_block(docs: DataFrame, spark, block: list, rank: int) -> DataFrame:
     def run(batches):
         m = shared.value
         masks = [(bits(w), len(w), bits(w[-max(1, len(w) // 4) :]), max(1, len(w) // 4)) for w in m["words"]]
-        for batch in slices(batches, chars=1_000_000):
+        for batch in slices(batches, chars=400_000):
             words, counts = tokens(batch.column(1))
             hits: list[dict[int, float]] = [{} for _ in counts]
             begins = np.cumsum(counts) - counts

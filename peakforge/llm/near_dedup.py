@@ -143,7 +143,7 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, chars=4_000_000, rows=500, column=2):
+        for batch in slices(batches, rows=500, column=2):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.dtype("V6")).view(np.uint8).reshape(-1, 6) for v in (x, y))
