@@ -16,8 +16,10 @@ earlier: in a document of smaller id, or earlier in the same document.
 
 Anchors that occur very often (a passage in a third of all documents) are cut
 into pieces of fewer windows, keyed by what all of a piece's windows hold too,
-and equal pieces collapse before they are sent; where an anchor is more frequent
-still a piece is one window, so that no shard gets more strings than a bound.
+and equal pieces collapse before they are sent. Strings of one key then differ in
+the few bytes by which a piece's windows move, so no key has many of them: at most
+the anchor's occurrences below the second limit, and above it what three bytes on
+either side can be.
 
 Null texts are empty. Texts shorter than LENGTH lose nothing. A null id counts
 as the smallest; rows that share id and text are one document with one result;
@@ -29,19 +31,20 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, staged, utf8
+from .common import discard, read, slices, staged, utf8
 from .shingles import _INVERSE, _P, MASK, _powers, mix
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 16
 #: An anchor with so many occurrences is cut into pieces of so many windows.
-PIECES = ((20_000, 1), (1_000, 16))
-SHARD_BYTES = 1_000_000
+PIECES = ((5_000, 4), (1_000, 16))
+SHARD_BYTES = 700_000
 #: Bytes of text that are hashed at once; some twenty arrays of eight bytes a byte live beside them.
 SLICE_BYTES = 1_000_000
 FIRST = -(1 << 63)
@@ -154,9 +157,11 @@ def window_strings(docs: DataFrame) -> DataFrame:
                 continue
             t, a, b, key, hot = (np.concatenate(x) for x in zip(*parts))
             same = hashes.of(a, b + LENGTH) ^ (b - a).astype(np.uint64)
-            order = np.lexsort((a, same, key))
+            # in the order of the text, where neighbours overlap and so compress well
+            order = np.argsort(a, kind="stable")
             t, a, b, key, hot, same = (x[order] for x in (t, a, b, key, hot, same))
-            new = np.append(True, (key[1:] != key[:-1]) | (same[1:] != same[:-1]))
+            new = np.zeros(len(key), bool)
+            new[np.unique(mix(key ^ mix(same)), return_index=True)[1]] = True
             strings = [data[x : y + LENGTH] if n else None for x, y, n in zip(a.tolist(), b.tolist(), new.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -277,8 +282,10 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
 def settle(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose tables are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # objects of Python first, then what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -304,6 +311,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         piece = F.when(F.col("n") >= least, F.lit(width)).otherwise(piece)
     found = counted.select("id", "hash").join(again.select("hash", piece.alias("piece")), "hash")
     found = staged(found.groupBy("id").agg(F.collect_list(F.struct("hash", "piece")).alias("found")), "found")
+    discard(own)
     settle(spark)
     firsts_only = plain.join(found, "id").join(copies, ["id", "t"], "left_anti")
     strings = staged(window_strings(firsts_only.select("id", "t", "text", "found")), "strings")
