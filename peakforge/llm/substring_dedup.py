@@ -289,7 +289,7 @@ def settle(spark: SparkSession) -> None:
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, spans): rows (id, t, n_bytes, sha, copy), texts (id, t, text) of docs, and the spans (id, t, start, end) to remove.
+    """(rows, texts, spans): rows (id, t, n_bytes, sha, copy), texts (id, t, text) of docs, and (id, t, spans), the spans an array of (start, end) to remove.
 
     Rows with copy are copies of a text of smaller id; they have no spans but go whole if long enough.
     """
@@ -322,18 +322,23 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = heads.select("key", "same", "head.id", "head.t", "head.start", "n", F.lit(True).alias("hot"), "string")
     dealt = strings.where("not hot").unionByName(distinct).repartition("key").sortWithinPartitions("key")
     spans = staged(marked(dealt), "marked")
-    later = hot.drop("string").join(heads.select("key", "same", "head"), ["key", "same"]).where((F.col("id") > F.col("head.id")) | (F.col("start") > F.col("head.start")))
-    later = later.select("id", "t", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+    # of a frequent string every place but the head goes: a document's places less those where it is the head
+    piece = F.struct("start", "n", "key", "same")
+    own_heads = heads.select("head.id", "head.start", "n", "key", "same").groupBy("id").agg(F.collect_list(piece).alias("heads"))
+    places = hot.groupBy("id", "t").agg(F.collect_list(piece).alias("places")).join(own_heads, "id", "left")
+    later = F.array_except("places", F.when(F.col("heads").isNull(), F.slice("places", 1, 0)).otherwise(F.col("heads")))
+    later = places.select("id", "t", F.transform(later, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"] - 1 + LENGTH).alias("end"))).alias("spans"))
+    spans = spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans")).unionByName(later)
+    spans = spans.groupBy("id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     settle(spark)
-    return rows, plain, spans.unionByName(later)
+    return rows, plain, spans
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, texts, spans = removed_spans(docs, id_col, text_col)
-    by_doc = spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # rows that share id and text are cut once
-    cut = cut_texts(texts.join(by_doc, ["id", "t"]).select("id", "t", "text", "spans")).drop("kept")
+    cut = cut_texts(texts.join(spans, ["id", "t"]).select("id", "t", "text", "spans")).drop("kept")
     cut = cut.groupBy("id", "t").agg(*[F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")])
     out = rows.join(cut, ["id", "t"], "left")
     gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
