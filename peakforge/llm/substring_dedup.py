@@ -297,7 +297,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     slim = staged(plain.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
-    firsts = slim.groupBy("t", "sha").agg(F.min("id").alias("rep"))
+    # written, so that the join deals both sides and Spark can split a large group of copies
+    firsts = staged(slim.groupBy("t", "sha").agg(F.min("id").alias("rep")), "firsts")
     rows = staged(slim.join(firsts, ["t", "sha"]).withColumn("copy", F.col("id") > F.col("rep")).drop("rep"), "rows")
     copies = rows.where("copy").select("id", "t").distinct()
     settle(spark)
