@@ -5,12 +5,15 @@ frequencies counted over all documents. A randomised SVD, whose products with
 the passage matrix are summed over partitions, gives the latent space. Every
 document is cut into cells of eight words; passages of four and of eight cells
 begin at every cell, are projected, and those whose cosine and share of an
-item's mass pass the limits are candidates. A candidate counts if the longest
+item's mass pass the limits are candidates, and those that hold all of its mass
+whatever else they hold. A candidate counts if the longest
 common subsequence of the item's words and the region's covers enough of the
 item, and enough of its answer (its last quarter) too.
 
 Items are searched in blocks, so the terms, factors and item vectors that are
-broadcast are bounded by the block size. A term that many documents hold weighs
+broadcast are bounded by the block size. Within a block, at most RANK items share
+a latent space, which thus holds each of them whole: no part of an item is lost
+in it, however many items there are. A term that many documents hold weighs
 nothing, unless it is among the rarest eight of an item. Null texts are clean;
 an item without words matches nothing; an empty benchmark finds nothing. Rows
 are judged one by one; only id and text are read.
@@ -29,7 +32,7 @@ from .shingles import word_hashes
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 4096, 256, 8, 2
 CELL, PASSAGES = 8, (4, 8)
 COMMON, RARE_KEPT = 0.1, 8
-COSINE, MASS = 0.25, 0.4
+COSINE, MASS, WHOLE = 0.25, 0.4, 0.99
 LCS, ANSWER = 0.65, 0.5
 SEPARATORS = ~WORD
 
@@ -86,14 +89,15 @@ def weights_of(items: list[np.ndarray], df: np.ndarray, n: int) -> np.ndarray:
     return np.where(needed | (df <= COMMON * n), idf, 0.0)
 
 
-def latent_space(passages: DataFrame, terms: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (terms by rank) of the TF-IDF matrix of passages (id, text).
+def latent_space(spark, items: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (terms by rank) of the TF-IDF matrix of items (places of each item's words), its rows scaled to length 1.
 
     Randomised range finder with power iterations; each product A'(A X) is a sum
-    over partitions of what their passages give.
+    over partitions of what their items give.
     """
-    sc = passages.sparkSession.sparkContext
-    fixed = sc.broadcast((terms, idf))
+    sc = spark.sparkContext
+    fixed = sc.broadcast(idf)
+    matrix = spark.createDataFrame([(x.tolist(),) for x in items], "places array<int>").coalesce(4)
 
     def times(x: np.ndarray) -> np.ndarray:
         factor = sc.broadcast(x.astype(np.float32))
@@ -101,24 +105,22 @@ def latent_space(passages: DataFrame, terms: np.ndarray, idf: np.ndarray, rank:
         def run(batches):
             import pyarrow as pa
 
-            terms, idf = fixed.value
-            right = factor.value
+            idf, right = fixed.value, factor.value
             out = np.zeros(right.shape, dtype=np.float32)
-            for batch in slices(batches):
-                words, counts = tokens(batch.column(1))
-                at, ends = places(words, terms), np.cumsum(counts)
-                for a, b in zip(ends - counts, ends):
-                    own, tf = np.unique(at[a:b][at[a:b] >= 0], return_counts=True)
+            for batch in batches:
+                for places in batch.column(0):
+                    own, tf = np.unique(places.values.to_numpy(), return_counts=True)
                     row = (tf * idf[own]).astype(np.float32)
+                    row /= max(np.linalg.norm(row), 1e-9)
                     out[own] += np.outer(row, row @ right[own])
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.large_binary())], names=["part"])
 
-        parts = passages.coalesce(4).mapInArrow(run, "part binary").toArrow().column(0).to_pylist()
+        parts = matrix.mapInArrow(run, "part binary").toArrow().column(0).to_pylist()
         factor.unpersist()
         return np.sum([np.frombuffer(p, dtype=np.float32).reshape(x.shape) for p in parts], axis=0, dtype=np.float64)
 
-    width = min(len(terms), rank + OVERSAMPLE)
-    basis = np.random.default_rng(3).standard_normal((len(terms), width))
+    width = min(len(idf), rank + OVERSAMPLE)
+    basis = np.random.default_rng(3).standard_normal((len(idf), width))
     for _ in range(1 + POWERS):
         basis, _ = np.linalg.qr(times(basis))
     # A'A in the basis; its eigenvectors turn the basis into singular vectors
@@ -171,7 +173,7 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
     benchmark: (id, text); its items are taken in blocks by order of id.
     """
     spark = docs.sparkSession
-    out, blocks, last = None, [], None
+    out, blocks = None, []
     order = benchmark.where("id is not null and text is not null").orderBy("id", "text")
     n_items = order.count()
     numbered = order.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["id"], r[0]["text"])) if n_items > block_items else None
@@ -179,35 +181,67 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
         rows = order.collect() if numbered is None else [r[1:] for r in numbered.filter(lambda r: at <= r[0] < at + block_items).collect()]
         blocks.append([(r[0], r[1]) for r in rows])
     for block in blocks:
-        found = _search_block(docs if out is None else out, spark, block, rank)
-        out = found
+        out = _search_block(docs, docs if out is None else out, spark, block, rank)
     if out is None:
         out = docs.select("id", F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
     return out.select("id", "hits")
 
 
-def _search_block(docs: DataFrame, spark, block: list, rank: int) -> DataFrame:
+def space_of(spark, items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray, rank: int) -> dict:
+    """The latent space of some items and their vectors in it. items: places of each item's words in terms.
+
+    There are at most rank items, so the space holds each of them whole, and
+    the products in it are those of the TF-IDF vectors themselves.
+    """
+    own = np.unique(np.concatenate(items))
+    local = np.full(len(terms) + 1, -1, dtype=np.int32)  # the last entry is for words that are no term
+    local[own] = np.arange(len(own))
+    v = latent_space(spark, [local[x] for x in items], idf[own], min(rank, len(items)))
+    vectors = np.zeros((len(items), v.shape[1]))
+    norms = np.zeros(len(items))
+    for k, x in enumerate(items):
+        at, tf = np.unique(local[x], return_counts=True)
+        vectors[k] = (tf * idf[own][at]) @ v[at]
+        norms[k] = np.linalg.norm(tf * idf[own][at])
+    local[own[idf[own] <= 0]] = -1
+    return {
+        "local": local, "idf": idf[own], "factors": (idf[own][:, None] * v).astype(np.float32), "items": vectors.T.astype(np.float32),
+        "norms": np.maximum(norms, 1e-9), "mass": np.maximum((vectors**2).sum(1), 1e-12),
+    }
+
+
+def candidates(space: dict, at: np.ndarray, cell: np.ndarray, of_doc: np.ndarray):
+    """Yields (number of cells, first cell, item of the space) of the passages that pass the limits. at: place of each word in the terms, -1 if none."""
+    known = space["local"][at]
+    use = known >= 0
+    least = 0.999 * np.sqrt(space["mass"].min())
+    for size, vectors, norms in passages_of(known[use], cell[use], np.arange(len(of_doc)), space["factors"], space["idf"], of_doc):
+        # a product is at most that of the lengths, so shorter vectors pass with no item
+        length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        some = np.flatnonzero((length >= MASS * least) & ((length >= 0.999 * COSINE * norms) | (length >= WHOLE * least)))
+        for k in range(0, len(some), 4096):
+            rows = some[k : k + 4096]
+            dots = vectors[rows] @ space["items"]
+            good = (dots >= MASS * space["mass"]) & (dots >= COSINE * norms[rows][:, None] * space["norms"])
+            good |= dots >= WHOLE * space["mass"]
+            for r, item in zip(*(x.tolist() for x in np.nonzero(good))):
+                yield size, int(rows[r]), item
+
+
+def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, rank: int) -> DataFrame:
+    """before (docs, with hits after the first block), with the hits of this block's items added."""
     import pyarrow as pa
 
     words, counts = tokens(pa.array([t for _, t in block], pa.string()))
-    item_words = [w for w in np.split(words, np.cumsum(counts)[:-1])]
+    item_words = np.split(words, np.cumsum(counts)[:-1])
     terms = np.unique(words)
     df, n = document_frequencies(docs.select("id", "text"), terms)
-    item_places = [places(w, terms) for w in item_words]
+    some = [k for k, w in enumerate(item_words) if len(w)]
+    item_places = [places(item_words[k], terms) for k in some]
     idf = weights_of(item_places, df, n)
-    passages = spark.createDataFrame([(int(i), t) for i, t in block], "id bigint, text string")
-    v = latent_space(passages, terms, idf, min(rank, len(block)))
-    vectors = np.zeros((len(block), v.shape[1]))
-    norms = np.zeros(len(block))
-    for k, own in enumerate(item_places):
-        if len(own):
-            own, tf = np.unique(own, return_counts=True)
-            vectors[k] = (tf * idf[own]) @ v[own]
-            norms[k] = np.linalg.norm(tf * idf[own])
-    own_mass = np.maximum((vectors**2).sum(1), 1e-12)
     model = {
-        "terms": terms, "idf": idf, "factors": (idf[:, None] * v).astype(np.float32), "items": vectors.T.astype(np.float32), "norms": np.maximum(norms, 1e-9),
-        "mass": own_mass, "ids": [int(i) for i, _ in block], "words": [w.tolist() for w in item_words],
+        "terms": terms, "ids": [int(i) for i, _ in block], "words": [w.tolist() for w in item_words],
+        "spaces": [(some[k : k + rank], space_of(spark, item_places[k : k + rank], terms, idf, rank)) for k in range(0, len(some), rank)],
     }
     shared = spark.sparkContext.broadcast(model)
 
@@ -224,28 +258,22 @@ def _search_block(docs: DataFrame, spark, block: list, rank: int) -> DataFrame:
             at = places(words, m["terms"])
             owner = np.repeat(np.arange(len(counts)), counts)
             cell = cell0[owner] + (np.arange(len(words)) - begins[owner]) // CELL
-            use = (at >= 0) & (m["idf"][at] > 0)
             tried: dict[tuple[int, int], int] = {}
-            for size, vectors, norms in passages_of(at[use], cell[use], np.arange(n_cells.sum()), m["factors"], m["idf"], of_doc):
-                some = np.flatnonzero(norms > 0)
-                for k in range(0, len(some), 4096):
-                    rows = some[k : k + 4096]
-                    dots = vectors[rows] @ m["items"]
-                    good = (dots >= MASS * m["mass"]) & (dots >= COSINE * norms[rows][:, None] * m["norms"])
-                    for r, item in zip(*(x.tolist() for x in np.nonzero(good))):
-                        c = int(rows[r])
-                        d = int(of_doc[c])
-                        mask, length, answer, n_answer = masks[item]
-                        a = int(begins[d]) + (c - int(cell0[d])) * CELL
-                        lo, hi = max(int(begins[d]), a - length), min(int(begins[d] + counts[d]), a + size * CELL + length)
-                        # regions of one item that begin within its length were seen already
-                        if tried.get((d, item), -1) >= hi and hits[d].get(item, 0) >= LCS:
-                            continue
-                        tried[d, item] = hi
-                        region = words[lo:hi].tolist()
-                        share = lcs(mask, length, region) / length
-                        if share >= LCS and lcs(answer, n_answer, region) / n_answer >= ANSWER:
-                            hits[d][item] = max(hits[d].get(item, 0.0), share)
+            for items, space in m["spaces"]:
+                for size, c, k in candidates(space, at, cell, of_doc):
+                    item = items[k]
+                    d = int(of_doc[c])
+                    mask, length, answer, n_answer = masks[item]
+                    a = int(begins[d]) + (c - int(cell0[d])) * CELL
+                    lo, hi = max(int(begins[d]), a - length), min(int(begins[d] + counts[d]), a + size * CELL + length)
+                    # regions of one item that begin within its length were seen already
+                    if tried.get((d, item), -1) >= hi and hits[d].get(item, 0) >= LCS:
+                        continue
+                    tried[d, item] = hi
+                    region = words[lo:hi].tolist()
+                    share = lcs(mask, length, region) / length
+                    if share >= LCS and lcs(answer, n_answer, region) / n_answer >= ANSWER:
+                        hits[d][item] = max(hits[d].get(item, 0.0), share)
             found = [{(m["ids"][k], s) for k, s in h.items()} for h in hits]
             if "hits" in batch.schema.names:
                 for f, old in zip(found, batch.column(2).to_pylist()):
@@ -255,7 +283,7 @@ def _search_block(docs: DataFrame, spark, block: list, rank: int) -> DataFrame:
             rows = [[{"item": i, "share": s} for i, s in b] for b in best]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["id", "text", "hits"])
 
-    kept = docs.select("id", "text", *(["hits"] if "hits" in docs.columns else []))
+    kept = before.select("id", "text", *(["hits"] if "hits" in before.columns else []))
     kind = docs.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"id {kind}, text string, hits array<struct<item:bigint,share:double>>")
 

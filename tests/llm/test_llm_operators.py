@@ -196,6 +196,28 @@ def test_paraphrases_and_blocks(spark):
     assert {r.id: [x.item for x in r.hits] for r in found.collect()} == {**{k: [k] for k in range(5)}, 9: []}
 
 
+def planted(n, length, seed):
+    """Items of (at least, at most) so many words, and documents that hold one each; rare and common words."""
+    r = random.Random(seed)
+    some = lambda k: " ".join(f"w{int(4000 * r.random() ** 2)}" for _ in range(k))
+    items = [(k, some(r.randint(*length))) for k in range(n)]
+    return items, [(k, f"{some(r.randint(60, 120))} {t} {some(100)}") for k, t in items]
+
+
+def found_copies(spark, items, docs, **kw):
+    schema = "id bigint, text string"
+    found = decontamination.search(spark.createDataFrame(docs, schema), spark.createDataFrame(items, schema), **kw).collect()
+    return sum(any(x.item == r.id and x.share == 1 for x in r.hits) for r in found)
+
+
+def test_benchmark_larger_than_the_rank(spark):
+    """Exact copies are found however many items there are; also where a block is searched after another."""
+    for length, seed in (((20, 57), 1), ((1, 8), 2)):
+        items, docs = planted(160, length, seed)
+        assert found_copies(spark, items, docs, rank=32) == 160
+    assert found_copies(spark, items[:60], docs[:60], rank=7, block_items=40) == 60
+
+
 def test_longest_common_subsequence():
     for seed in range(100):
         r = random.Random(seed)
