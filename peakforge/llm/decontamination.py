@@ -1,20 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are TF-IDF vectors over their own terms, with document
-frequencies counted over all documents. A randomised SVD, whose products with
-the passage matrix are summed over partitions, gives the latent space. Every
-document is cut into cells of eight words; passages of four and of eight cells
-begin at every cell, are projected, and those whose cosine and share of an
-item's mass pass the limits are candidates, and those that hold all of its mass
-whatever else they hold. A candidate counts if the longest
-common subsequence of the item's words and the region's covers enough of the
-item, and enough of its answer (its last quarter) too.
-
-Items are searched in blocks, so the terms, factors and item vectors that are
-broadcast are bounded by the block size. Within a block, at most RANK items share
-a latent space, which thus holds each of them whole: no part of an item is lost
-in it, however many items there are. A term that many documents hold weighs
-nothing, unless it is among the rarest eight of an item. Null texts are clean;
+Benchmark items, cut into pieces of at most 57 words, are TF-IDF vectors over
+their own terms, with document frequencies counted over all documents. A
+randomised SVD, whose products with the pieces' matrix are summed over
+partitions, gives the latent space. Every document is cut into cells of eight
+words; passages of four and of eight cells begin at every cell, are projected,
+and those whose cosine and share of a piece's mass pass the limits are
+candidates, as are those that hold all of its mass whatever else they hold. A
+candidate counts if the longest common subsequence of the whole item's words and
+the region's covers enough of the item, and enough of its answer (its last
+quarter) too.
+
+Pieces are searched in blocks, so the terms, factors and vectors that are
+broadcast are bounded by the block size. Within a block, at most RANK pieces
+share a latent space, which thus holds each of them whole: no part of an item is
+lost in it, however many items there are. A term that many documents hold weighs
+nothing, unless it is among the rarest eight of a piece. Null texts are clean;
 an item without words matches nothing; an empty benchmark finds nothing. Rows
 are judged one by one; only id and text are read.
 """
@@ -31,6 +32,8 @@ from .shingles import word_hashes
 
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 4096, 256, 8, 2
 CELL, PASSAGES = 8, (4, 8)
+#: So many words lie within one of the longest passages wherever they begin in a cell.
+PIECE = CELL * (PASSAGES[-1] - 1) + 1
 COMMON, RARE_KEPT = 0.1, 8
 COSINE, MASS, WHOLE = 0.25, 0.4, 0.99
 LCS, ANSWER = 0.65, 0.5
@@ -149,6 +152,11 @@ def bits(words) -> dict[int, int]:
     return out
 
 
+def pieces_of(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words cut into as few parts of at most PIECE words as there can be, of about equal length."""
+    return np.array_split(words, -(-len(words) // PIECE)) if len(words) else []
+
+
 def passages_of(known: np.ndarray, cell: np.ndarray, cells: np.ndarray, factors: np.ndarray, idf: np.ndarray, of_doc: np.ndarray):
     """Yields (number of cells, vectors, norms) of the passages that begin at each cell."""
     n = len(cells)
@@ -181,12 +189,22 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
         rows = order.collect() if numbered is None else [r[1:] for r in numbered.filter(lambda r: at <= r[0] < at + block_items).collect()]
         blocks.append([(r[0], r[1]) for r in rows])
     for block in blocks:
-        out = _search_block(docs, docs if out is None else out, spark, block, rank)
+        pieces = [(k, w) for k, own in enumerate(words_of(block)) for w in pieces_of(own)]
+        for at in range(0, len(pieces), block_items):
+            out = _search_block(docs, docs if out is None else out, spark, block, pieces[at : at + block_items], rank)
     if out is None:
         out = docs.select("id", F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
     return out.select("id", "hits")
 
 
+def words_of(block: list) -> list[np.ndarray]:
+    """The words of each item of a block of (id, text)."""
+    import pyarrow as pa
+
+    words, counts = tokens(pa.array([t for _, t in block], pa.string()))
+    return np.split(words, np.cumsum(counts)[:-1])
+
+
 def space_of(spark, items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray, rank: int) -> dict:
     """The latent space of some items and their vectors in it. items: places of each item's words in terms.
 
@@ -228,20 +246,19 @@ def candidates(space: dict, at: np.ndarray, cell: np.ndarray, of_doc: np.ndarray
                 yield size, int(rows[r]), item
 
 
-def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, rank: int) -> DataFrame:
-    """before (docs, with hits after the first block), with the hits of this block's items added."""
+def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, pieces: list, rank: int) -> DataFrame:
+    """before (docs, with hits after the first pass), with the hits of the items that hold these pieces, (place in the block, words), added."""
     import pyarrow as pa
 
-    words, counts = tokens(pa.array([t for _, t in block], pa.string()))
-    item_words = np.split(words, np.cumsum(counts)[:-1])
-    terms = np.unique(words)
+    terms = np.unique(np.concatenate([w for _, w in pieces]))
     df, n = document_frequencies(docs.select("id", "text"), terms)
-    some = [k for k, w in enumerate(item_words) if len(w)]
-    item_places = [places(item_words[k], terms) for k in some]
-    idf = weights_of(item_places, df, n)
+    owners, piece_places = [k for k, _ in pieces], [places(w, terms) for _, w in pieces]
+    idf = weights_of(piece_places, df, n)
+    # only whole items are compared, and only those of these pieces are sent
+    item_words, first = words_of(block[owners[0] : owners[-1] + 1]), owners[0]
     model = {
-        "terms": terms, "ids": [int(i) for i, _ in block], "words": [w.tolist() for w in item_words],
-        "spaces": [(some[k : k + rank], space_of(spark, item_places[k : k + rank], terms, idf, rank)) for k in range(0, len(some), rank)],
+        "terms": terms, "ids": [int(i) for i, _ in block[first : owners[-1] + 1]], "words": [w.tolist() for w in item_words],
+        "spaces": [([x - first for x in owners[k : k + rank]], space_of(spark, piece_places[k : k + rank], terms, idf, rank)) for k in range(0, len(pieces), rank)],
     }
     shared = spark.sparkContext.broadcast(model)
 
@@ -259,9 +276,9 @@ def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, rank:
             owner = np.repeat(np.arange(len(counts)), counts)
             cell = cell0[owner] + (np.arange(len(words)) - begins[owner]) // CELL
             tried: dict[tuple[int, int], int] = {}
-            for items, space in m["spaces"]:
+            for owners, space in m["spaces"]:
                 for size, c, k in candidates(space, at, cell, of_doc):
-                    item = items[k]
+                    item = owners[k]
                     d = int(of_doc[c])
                     mask, length, answer, n_answer = masks[item]
                     a = int(begins[d]) + (c - int(cell0[d])) * CELL

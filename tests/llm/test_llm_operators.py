@@ -218,6 +218,17 @@ def test_benchmark_larger_than_the_rank(spark):
     assert found_copies(spark, items[:60], docs[:60], rank=7, block_items=40) == 60
 
 
+def test_long_items(spark):
+    """Items longer than any passage are found, as exact copies and with every ninth word changed; also where one is cut over two passes."""
+    items, docs = planted(40, (58, 600), 3)
+    assert found_copies(spark, items, docs) == 40
+    assert found_copies(spark, items[:6], docs[:6], rank=4, block_items=5) == 6
+    schema = "id bigint, text string"
+    changed = [(k, " ".join("changed" if j % 9 == 2 else w for j, w in enumerate(t.split()))) for k, t in docs]
+    found = decontamination.search(spark.createDataFrame(changed, schema), spark.createDataFrame(items, schema)).collect()
+    assert {r.id: [x.item for x in r.hits] for r in found} == {k: [k] for k, _ in items}
+
+
 def test_longest_common_subsequence():
     for seed in range(100):
         r = random.Random(seed)
