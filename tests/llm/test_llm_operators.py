@@ -310,6 +310,18 @@ def test_licenses(spark, documents, empty):
     assert len(licenses.signatures()) > 200 and licenses.scan(empty).count() == 0
 
 
+def test_license_keywords(spark):
+    """Rows are judged one by one whatever stands before them, and any gap may separate a keyword's words."""
+    made = [
+        ("abc", "", 0), ("cc by applies here", "cc-by", 1), ("ac", "", 0), ("creative commons zero", "cc0-1.0", 0), ("Creative\ncommons  Zero", "cc0-1.0", 0),
+        ("all rights\nreserved", "proprietary", 0), ("in the public\n domain", "public-domain", 0), ("creative", "", 0), ("commons zero", "", 0),
+        ("Permission is\n * hereby granted, free of charge, to any person obtaining a copy", "mit", 0),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(made)], "doc_id bigint, text string")
+    for some in (docs.coalesce(1), docs.coalesce(1).sortWithinPartitions(F.desc("doc_id"))):
+        assert {r.doc_id: (r.labels, r.n_base) for r in licenses.scan(some).collect()} == {k: (labels, n) for k, (_, labels, n) in enumerate(made)}
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
