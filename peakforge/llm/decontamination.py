@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from .common import read, slices, utf8
 from .licenses import WORD
@@ -176,7 +177,7 @@ def passages_of(known: np.ndarray, cell: np.ndarray, cells: np.ndarray, factors:
 
 
 def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row a row of docs (id, text): id, and hits, an array of (item, lcs share), by item.
+    """One row a row of docs (id of any type, text): id, text, and hits, an array of (item, lcs share), by item.
 
     benchmark: (id, text); its items are taken in blocks by order of id.
     """
@@ -193,8 +194,8 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
         for at in range(0, len(pieces), block_items):
             out = _search_block(docs, docs if out is None else out, spark, block, pieces[at : at + block_items], rank)
     if out is None:
-        out = docs.select("id", F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
-    return out.select("id", "hits")
+        out = docs.select("id", "text", F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
+    return out
 
 
 def words_of(block: list) -> list[np.ndarray]:
@@ -301,8 +302,8 @@ def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, pieces
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["id", "text", "hits"])
 
     kept = before.select("id", "text", *(["hits"] if "hits" in before.columns else []))
-    kind = docs.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, text string, hits array<struct<item:bigint,share:double>>")
+    hits = ArrayType(StructType().add("item", LongType()).add("share", DoubleType()))
+    return kept.mapInArrow(run, StructType().add("id", docs.schema["id"].dataType).add("text", StringType()).add("hits", hits))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -320,9 +321,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    hit = contaminated(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    """The rows of docs that hold no benchmark item, each by its own verdict, whatever its doc_id."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    found = search(
+        docs.select(F.struct(*others).alias("id"), "text"),
+        benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text"),
+    )
+    return found.where(F.size("hits") == 0).select(*(F.col("text") if c == "text" else F.col("id")[c].alias(c) for c in docs.columns))
 
 
 def op4_decontamination(spark, sf_dir):

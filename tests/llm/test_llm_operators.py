@@ -229,6 +229,18 @@ def test_long_items(spark):
     assert {r.id: [x.item for x in r.hits] for r in found} == {k: [k] for k, _ in items}
 
 
+def test_clean_documents_without_ids(spark, odd):
+    """A row goes by its own verdict: also one without an id, and no other row of its id."""
+    item = prose(40, 50)
+    rows = [(None, f"{prose(90, 51)} {item}"), (None, "clean"), (1, item), (1, "clean too"), (2, None), (2, None)]
+    docs = spark.createDataFrame([(t, "x", i) for i, t in rows], "text string, `a b` string, doc_id bigint")
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    left = decontamination.clean_documents(docs, benchmark)
+    assert left.columns == docs.columns and left.dtypes == docs.dtypes
+    assert collections.Counter(left.collect()) == collections.Counter([(t, "x", i) for i, t in rows if item not in (t or "")])
+    assert collections.Counter(decontamination.clean_documents(odd, benchmark.limit(0)).collect()) == collections.Counter(odd.collect())
+
+
 def test_longest_common_subsequence():
     for seed in range(100):
         r = random.Random(seed)
