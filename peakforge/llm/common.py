@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of our own on one machine, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -85,7 +89,7 @@ def utf8(column):
     return data[int(bounds[0]) : int(bounds[-1])].to_pybytes(), bounds - bounds[0]
 
 
-def slices(batches, chars: int = 1_500_000, rows: int = 2_000, column: int = 1):
+def slices(batches, chars: int = 500_000, rows: int = 2_000, column: int = 1):
     """Arrow batches cut so that a slice has about so many bytes of text at most, but one row at least."""
     import numpy as np
     import pyarrow as pa

@@ -12,10 +12,18 @@ Equal texts collapse to the smallest id before any join. Bands of four
 coordinates are bucket keys; every bucket links its members to a leader rather
 than to each other, links are checked against whole shingle sets, and linked
 documents form classes. Buckets that still hold several classes choose another
-leader, and what then remains is compared whole: in blocks of a bounded number
-of documents, pairs of blocks at a time, only between classes, and a block gives
-back no more links than join its classes. No pairs within a bucket are formed as
-rows, and a bucket of one class, however large, costs as many pairs as members.
+leader. The documents of buckets that hold several classes even then meet once
+more by a prefix filter: shingles are put in one order, those of a single class
+first, then the rarer before the commoner, and two sets as alike as asked share
+one of the first ``(1 - similarity) * size + 1``. Documents with a class's own
+shingles in front thus meet nobody, however many share a passage. Those that do
+meet are compared whole in blocks of a bounded number of documents and shingles,
+and a block gives back no more links than join its classes. No pairs within a
+group are formed as rows, and a bucket of one class, however large, costs as many
+pairs as members.
+
+Classes come from contraction: every node takes the least of random ranks within
+two links, so that chains of n links take about log n rounds and stars one.
 
 Null, empty and blank texts have no shingles and are classes of their own, as
 documents with a null id are. Texts of one to four words are one shingle. Rows
@@ -27,16 +35,17 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, slices, staged, utf8
+from .common import discard, read, slices, staged, utf8
 from .shingles import MASK, mix, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 ROUNDS = 2
-#: Documents in a block, and columns of the block's matrix that are multiplied at once.
-BLOCK, COLUMNS = 256, 4096
+#: Documents and shingles in a block, and columns of the block's matrix that are multiplied at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -146,10 +155,8 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in slices(batches, rows=500, column=2):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.dtype("V6")).view(np.uint8).reshape(-1, 6) for v in (x, y))
-                wide = [np.pad(v, ((0, 0), (0, 2))).view("<u8").ravel() for v in (x, y)]
-                a, b = map(len, wide)
-                both = len(np.intersect1d(*wide, assume_unique=True)) if min(a, b) >= similarity * max(a, b) else 0
+                a, b = len(x.as_buffer()) // 6, len(y.as_buffer()) // 6
+                both = len(np.intersect1d(unpacked(x.as_buffer()), unpacked(y.as_buffer()), assume_unique=True)) if min(a, b) >= similarity * max(a, b) else 0
                 keep.append(both / max(1, a + b - both))
             keep = np.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["a", "b", "similarity"]).filter(pa.array(keep >= similarity))
@@ -162,21 +169,44 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def classes_of(links: DataFrame) -> DataFrame:
     """(id, class) of the links (a, b): class is the smallest id that is connected.
 
-    Each step joins every node to the smallest of its neighbours and contracts
-    the links; stars end in two steps. No step gathers anything on the driver but counts.
+    A round gives the nodes that are left random ranks, contracts each to the
+    lowest within two links, and drops links within one node. At least half of
+    the nodes of a chain go in a round, all of a star. Nothing but counts comes to
+    the driver; the rounds' maps, ever smaller, are put together at the end.
     """
-    edges = staged(links.select("a", "b").where("a <> b").distinct(), "links")
-    found = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("class", F.col("id")), "nodes")
+    edges = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds: list[DataFrame] = []
     while edges.limit(1).count():
+
+        def ranked(c: str, salt: int = len(rounds)):
+            return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("r"), F.col(c).alias("i"))
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lower = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), "lower")
-        found = staged(
-            found.join(lower.withColumnRenamed("a", "class"), "class", "left").select("id", F.coalesce("low", "class").alias("class")), "nodes"
-        )
+        near = staged(both.groupBy("a").agg(F.min(ranked("b")).alias("low")).select("a", F.least("low", ranked("a")).alias("low")), "near")
+        far = both.join(near.select(F.col("a").alias("b"), F.col("low").alias("far")), "b").groupBy("a").agg(F.min("far").alias("far"))
+        up = staged(far.join(near, "a").select("a", F.least("low", "far")["i"].alias("up")), "contracted")
+        moved = edges
         for c in ("a", "b"):
-            edges = edges.join(lower.select(F.col("a").alias(c), F.col("low").alias(f"{c}_low")), c).drop(c).withColumnRenamed(f"{c}_low", c)
-        edges = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return found
+            moved = moved.join(up.select(F.col("a").alias(c), F.col("up").alias(f"{c}_up")), c).drop(c).withColumnRenamed(f"{c}_up", c)
+        moved = staged(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        discard(edges)
+        discard(near)
+        edges = moved
+        rounds.append(up)
+    if not rounds:  # no links, no classes
+        out = edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
+        out.staged_path = edges.staged_path
+        return out
+    found = rounds[-1]
+    for step in reversed(rounds[:-1]):
+        rest = found.select(F.col("a").alias("up"), F.col("up").alias("root"))
+        found = step.join(rest, "up", "left").select("a", F.coalesce("root", "up").alias("up"))
+    found = staged(found.select(F.col("a").alias("id"), F.col("up").alias("root")), "roots")
+    least = staged(found.groupBy("root").agg(F.min("id").alias("class")), "least")
+    out = staged(found.join(least, "root").select("id", "class"), "classes")
+    for old in (edges, found, least, *rounds):
+        discard(old)
+    return out
 
 
 def joining_links(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int, float]]:
@@ -212,38 +242,84 @@ def joining_links(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
     return links
 
 
-def block_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, similarity) between the classes of buckets that hold several; buckets of the same members are taken once."""
-    placed = buckets.withColumn("class", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    several = placed.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.shiftright(F.xxhash64("id"), 8)).alias("s1"), F.bit_xor(F.xxhash64("id")).alias("s2")
-    )
+def unpacked(members) -> np.ndarray:
+    """The hashes of a binary value of six bytes each."""
+    return np.pad(np.frombuffer(members, dtype=np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
+
+
+def prefixes(crowd: DataFrame, sets: DataFrame, similarity: float, kept=staged) -> DataFrame:
+    """(key, id, class, size) of crowd (id, class): the first shingles of each document, less those that no other class has.
+
+    A document's size orders nothing away: of n shingles the first n - ceil(similarity * n) + 1 are kept.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, column=2):
+            own = [unpacked(x.as_buffer()).view(np.int64) for x in batch.column(2)]
+            sizes = np.array([len(x) for x in own], dtype=np.int64)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=["id", "class", "size", "key"]
+            )
+
+    each = crowd.join(sets, "id").select("id", "class", "members").mapInArrow(run, "id bigint, class bigint, size bigint, key bigint")
+    # written, so that the join deals both sides and Spark can split a shingle that very many have
+    each = kept(each, "shingles")
+    several = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "df")
+    shared = each.join(kept(several, "shared"), "key")
+    own = W.partitionBy("id")
+    placed = shared.withColumn("place", F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "key")))
+    # 1e-9: the product of the limit and a size is not to fall below a whole number by rounding
+    return placed.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("key", "id", "class", "size")
+
+
+def with_classes(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """buckets (band, id) with the class so far, which is the id itself where there is none."""
+    return buckets.withColumn("class", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def block_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float, kept=staged) -> DataFrame:
+    """Links (a, b, similarity) between the classes of buckets that hold several; groups of the same members are taken once. kept: stages a table."""
+    placed = with_classes(buckets, labels)
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     # of two members the leader was one
-    once = several.where("n > 2 and low <> high").groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    each = placed.join(once, "band").withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    crowd = placed.join(mixed.where("n > 2 and low <> high").select("band"), "band").select("id", "class").distinct()
+    keyed = kept(prefixes(kept(crowd, "crowd"), sets, similarity, kept), "prefixes")
+    several = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.shiftright(F.xxhash64("id"), 8)).alias("s1"), F.bit_xor(F.xxhash64("id")).alias("s2"),
+    )
+    once = several.where("low <> high").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    once = once.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    each = keyed.join(kept(once, "groups"), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "class").join(sets, "id")
-    dealt = each.select("band", "x", "y", "id", "class", "members").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    each = each.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "class").join(sets, "id")
+    dealt = each.select("key", "x", "y", "id", "class", "members").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches):
         import pyarrow as pa
 
         def links(held):
-            ids, classes = np.array([r[1] for r in held]), np.array([r[2] for r in held])
-            sets = [np.pad(np.frombuffer(r[3], dtype=np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel() for r in held]
-            found = joining_links(ids, classes, sets, similarity)
+            ids, classes = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (3, 4))
+            found = joining_links(ids, classes, [unpacked(x.as_buffer()) for b in held for x in b.column(5)], similarity) if (classes != classes[0]).any() else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"]
             )
 
         held, last = [], None
         for batch in batches:
-            for row in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
-                if row[0] != last and held:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                now = tuple(keys[begin])
+                if held and now != last:
                     yield links(held)
                     held = []
-                last = row[0]
-                held.append(row)
+                last = now
+                held.append(batch.slice(begin, end - begin))
         if held:
             yield links(held)
 
@@ -253,61 +329,76 @@ def block_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """One row a row of docs: id, class_id (the smallest id of its class), n_shingles."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = staged(sketch(plain), "sketches")
+    done: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(staged(df, name))
+        return done[-1]
+
+    rows = kept(sketch(plain), "sketches")
     some = rows.where("runs > 0 and id is not null")
     # rows that share an id are one document, and so are equal word sequences: the smallest id stands for them
-    copies = staged(some.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
-    members = staged(
+    copies = kept(some.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
+    members = kept(
         some.select("id", "h1", "h2").join(copies, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "members"
     )
     same_id = members.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     reps = members.where("id = rep").select("id")
     keyed = some.join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band")).distinct()
     crowded = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = staged(keyed.join(crowded, "band"), "buckets")
+    buckets = kept(keyed.join(crowded, "band"), "buckets")
     involved = buckets.select("id").distinct()
-    sets = staged(shingle_sets(plain.join(involved, "id", "left_semi")).groupBy("id").agg(F.max("members").alias("members")), "sets")
-    links = staged(same_id.withColumn("similarity", F.lit(1.0)), "same")
+    sets = kept(shingle_sets(plain.join(involved, "id", "left_semi")).groupBy("id").agg(F.max("members").alias("members")), "sets")
+    links = kept(same_id.withColumn("similarity", F.lit(1.0)), "same")
     tried, labels = None, None
     for k in range(rounds):
-        placed = buckets if labels is None else buckets.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        if labels is None:
-            placed = placed.withColumn("class", F.col("id"))
+        placed = with_classes(buckets, labels)
         lead = placed.groupBy("band").agg(
             F.min_by(F.struct("id", "class"), F.xxhash64(F.lit(k), "id") if k else F.col("id")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")
         )
         lead = lead.where("low <> high").select("band", F.col("lead.id").alias("leader"), F.col("lead.class").alias("leader_class"))
         pairs = placed.join(lead, "band").where("class <> leader_class").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = kept(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             break
-        new = staged(checked(pairs, sets, similarity), "checked")
+        new = kept(checked(pairs, sets, similarity), "checked")
         links = links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if new.limit(1).count():
             labels = classes_of(links)
-    rest = staged(block_links(buckets, labels, sets, similarity), "rest")
+            done.append(labels)
+    rest = kept(block_links(buckets, labels, sets, similarity, kept), "rest")
     if labels is None or rest.limit(1).count():
         labels = classes_of(links.unionByName(rest))
+        done.append(labels)
     of_id = (
         members.select("id", "rep")
         .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
         .select("id", F.coalesce("class", "rep").alias("class_id"))
     )
-    out = rows.select("id", "runs").join(of_id, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.col("runs").alias("n_shingles"))
+    out = rows.select("id", "runs").join(of_id, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "runs")
+    out = staged(out, "near-classes")
+    for old in done:  # band keys, sets and links are not read again
+        discard(old)
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("runs").alias("n_shingles"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that are not the first of their class; of rows that share an id one stays."""
+    """docs without those that are not the first of their class; of rows that share an id the one of the least text hash stays."""
     found = near_duplicates(docs, **options)
     gone = staged(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = docs.where(docs["doc_id"].isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
+    again = docs.where(docs["doc_id"].isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
         return out
-    with_id, without = out.where(out["doc_id"].isNotNull()), out.where(out["doc_id"].isNull())
-    return with_id.dropDuplicates(["doc_id"]).unionByName(without)
+    # only rows of such ids are dealt by id; equal texts of one id differ, if at all, in columns that nothing here reads
+    again = staged(again.withColumnRenamed("doc_id", "__again"), "again")
+    plain = out.join(again, out["doc_id"] == again["__again"], "left_anti")
+    several = out.join(again, out["doc_id"] == again["__again"], "left_semi")
+    row = F.struct(*[several[c] for c in out.columns])
+    order = F.struct(F.xxhash64(F.coalesce(several["text"], F.lit(""))).alias("h"), F.to_json(row).alias("j"))
+    one = several.groupBy(several["doc_id"].alias("__id")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return plain.unionByName(one)
 
 
 def op10_near_dedup(spark, sf_dir):
