@@ -11,9 +11,16 @@ Prefix sums run in two levels: (source, key bucket) sums first, then only the
 one bucket per source in which the budget ends is sorted. A source that holds
 a third of all rows is thus spread over ``buckets`` groups.
 
-Null texts have size 0 and are never short of a row; a null source is a source
-of its own, ordered last. Repeated rows count once each; an empty table gives an
-empty result. Only id, text and source are read, so other columns cannot clash.
+Documents are ordered by key, id and text hash, so that how the table is dealt
+out changes nothing: rows without an id and rows that share one have an order of
+their own, and only rows equal in id and text are alike to the mix.
+
+Null texts have size 0; a document of size 0 comes 0, 1 or 2 times as any other
+does, and a source of only such documents has target 0 and comes not at all. A
+null source is a source of its own, ordered last. Repeated rows count once each; an
+empty table gives an empty result. Only id, text and source are read, so other
+columns cannot clash. There is one row a source in the plan of targets, which one
+task orders: sources are counted in thousands, documents are not.
 """
 
 from __future__ import annotations
@@ -56,31 +63,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (3, 1, 2),
-    share: float = 1.5,
-    most: float = 2.0,
-    buckets: int = 1024,
-    seed: int = 7,
-) -> DataFrame:
-    """One row for each row of docs: id, source, size, source_size, target, repeats, taken."""
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int, seed: int) -> DataFrame:
+    """docs with __id, __source, __size, __key, __hash (of the text) and __bucket (of the key)."""
     text = F.col(text_col)
-    key = -F.log(uniform(F.col(id_col), F.lit(seed))) / quality_weight(text)
-    slim = staged(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")).withColumn(
-            "bucket", F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key"))))).cast("int")
-        ),
-        "mix-documents",
-    )
+    out = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(text), "__hash": F.xxhash64(text)})
+    out = out.withColumn("__key", -F.log(uniform(F.col("__id"), F.col("__hash"), F.lit(seed))) / quality_weight(text))
+    return out.withColumn("__bucket", F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("__key"))))).cast("int"))
+
+
+NAMES = {"__id": "id", "__source": "source", "__size": "size", "__key": "key", "__hash": "hash", "__bucket": "bucket"}
+
+
+def planned(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, closing) of slim (id, source, size, key, hash, bucket, row).
+
+    rows: slim with source_size, target, epochs, and more, 1 if the rest of the
+    target takes the row; closing (row): the rows that close their sources' gaps.
+    """
     sums = staged(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     aims = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
-    aims = aims.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")).withColumn(
-        "rest", F.col("target") - F.col("epochs") * F.col("source_size")
-    )
+    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
+    aims = aims.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     prefix = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = staged(
         sums.withColumn("before", prefix)
@@ -91,36 +94,66 @@ def mix(
     plan = plan.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     rows = slim.join(bounded_broadcast(plan, plan.count(), BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     ends_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest"))
-    whole = rows.where(~ends_here).withColumn("more", (F.col("before") + F.col("bucket_size") <= F.col("rest")).cast("long"))
-    order = W.partitionBy("source", "bucket").orderBy("key", "id").rowsBetween(W.unboundedPreceding, -1)
+    # where complete epochs are all, nothing more comes, not even a document of size 0
+    whole = rows.where(~ends_here).withColumn("more", ((F.col("rest") > 0) & (F.col("before") + F.col("bucket_size") <= F.col("rest"))).cast("long"))
+    order = W.partitionBy("source", "bucket").orderBy("key", "id", "hash", "row").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     cut = rows.where(ends_here).withColumn("more", (start + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    columns = ["id", "source", "row", "key", "size", "source_size", "target", "rest", "epochs", "more"]
+    columns = [*slim.columns, "source_size", "target", "rest", "epochs", "more"]
     out = staged(whole.select(columns).unionByName(cut.select(columns)), "mix-chosen")
     gaps = out.groupBy("source").agg((F.min("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap")).withColumnRenamed("source", "s")
     gaps = staged(gaps, "mix-gaps")
     gaps = bounded_broadcast(gaps, gaps.count(), BROADCAST_ROWS)
     left = out.where("more = 0 and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("s"))).where("gap > 0 and size < 2 * gap")
-    closing = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "row")).alias("c")).select(F.col("c.row").alias("row"), F.lit(1).alias("closes"))
-    out = out.join(closing, "row", "left").withColumn("repeats", F.col("epochs") + F.col("more") + F.coalesce("closes", F.lit(0)))
+    best = F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "id", "hash", "row"))
+    return out, left.groupBy("source").agg(best.alias("c")).select("source", F.col("c.row").alias("row"), F.col("c.id").alias("id"), F.col("c.hash").alias("hash"))
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    buckets: int = 1024,
+    seed: int = 7,
+) -> DataFrame:
+    """One row for each row of docs: id, source, size, source_size, target, repeats, taken."""
+    keyed = _slim(docs, id_col, text_col, source_col, buckets, seed)
+    slim = staged(keyed.select(*[F.col(k).alias(v) for k, v in NAMES.items()], F.monotonically_increasing_id().alias("row")), "mix-documents")
+    out, closing = planned(slim, weights, share, most)
+    out = out.join(closing.select("row", F.lit(1).alias("closes")), "row", "left").withColumn("repeats", F.col("epochs") + F.col("more") + F.coalesce("closes", F.lit(0)))
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 1024, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them.
 
-    The plan is joined back by id; rows that share an id share its decision.
+    Within a source, what the rest of the target takes are all documents up to one
+    place in their order, and the one that closes the gap: a row a source, which
+    is sent to the documents. No text is dealt out. Rows equal in id and text
+    stand at one place and share a decision.
     """
-    chosen = mix(docs, **options).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-    chosen = chosen.withColumnRenamed("doc_id", "__id")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    packed = docs.select(row.alias("__row"), docs["doc_id"].alias("__doc"))
-    joined = packed.join(chosen, F.col("__doc").eqNullSafe(F.col("__id")))
-    return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select("__row.*")
+    keyed = _slim(docs, "doc_id", "text", "source", buckets, seed)
+    slim = staged(keyed.select(*[F.col(k).alias(v) for k, v in NAMES.items()], F.monotonically_increasing_id().alias("row")), "mix-documents")
+    rows, closing = planned(slim, weights, share, most)
+    place = F.struct("key", "id", "hash")
+    ends = rows.groupBy("source").agg(F.min("epochs").alias("__epochs"), F.max(F.when(F.col("more") == 1, place)).alias("__last"))
+    ends = ends.join(closing.select(F.col("source").alias("s"), F.struct("id", "hash").alias("__closing")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    ends = staged(ends.withColumnRenamed("source", "__s"), "mix-ends")
+    names = docs.columns
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].alias("source"))
+    own = _slim(packed, "doc_id", "text", "source", buckets, seed).select("__row", "__source", *[F.col(c).alias(c[2:]) for c in ("__key", "__id", "__hash")])
+    joined = own.join(bounded_broadcast(ends, ends.count(), BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__s")))
+    more = F.coalesce(place <= F.col("__last"), F.lit(False)) | F.coalesce(F.struct("id", "hash").eqNullSafe(F.col("__closing")), F.lit(False))
+    taken = joined.withColumn("__repeats", F.col("__epochs") + more.cast("long")).where("__repeats > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select("__row.*")
 
 
 def op2_mixing(spark, sf_dir):
     out = mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
