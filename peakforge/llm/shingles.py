@@ -21,11 +21,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Powers(dict):
+    """Powers by base, as far as they were needed; executors start without any."""
+
+    def __reduce__(self):
+        return Powers, ()
+
+
+_CACHE = Powers()
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """1, base, base ** 2, ... modulo 2 ** 64."""
+    have = _CACHE.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(1 << max(n, 1).bit_length(), base, dtype=np.uint64)
+        have[0] = 1
+        have = _CACHE[int(base)] = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
 
 
 def word_hashes(data: bytes, bounds: np.ndarray, separators: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:

@@ -4,22 +4,27 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts
 earlier: in a document of smaller id, or earlier in the same document.
 
 1. Equal texts collapse to their smallest id; later copies go whole.
-2. Each window of LENGTH bytes has an anchor, the 16-gram of the smallest hash in
+2. Each window of LENGTH bytes has an anchor, the 32-gram of the smallest hash in
    it, so equal windows have equal anchors. An anchor that occurs once in the
    corpus ends the search for its windows.
-3. The windows of an anchor that occurs again are sent, as one string, to the
-   shard of the anchor's hash. Equal windows thus meet in one shard.
+3. The windows of an anchor that occurs again are one string. Of equal strings
+   of a document only the first leaves it; the others go, and are known to go at
+   once. What leaves is sent to the shard of the anchor's hash, so equal windows
+   meet in one shard.
 4. A shard's strings are sorted by induced sorting (suffix_array), common
    prefixes are permuted to text order, and of each run of suffixes that agree in
    LENGTH bytes all but the earliest are marked.
 5. Marked windows go back to their documents, whose bytes are cut.
 
-Anchors that occur very often (a passage in a third of all documents) are cut
-into pieces of fewer windows, keyed by what all of a piece's windows hold too,
-and equal pieces collapse before they are sent. Strings of one key then differ in
-the few bytes by which a piece's windows move, so no key has many of them: at most
-the anchor's occurrences below the second limit, and above it what three bytes on
-either side can be.
+Anchors that occur very often (a passage in a third of all documents, or one byte
+many thousand times in a document) are cut into pieces of fewer windows, keyed by
+what all of a piece's windows hold too, and equal pieces collapse before they are
+sent. Strings of one key then differ in the few bytes by which a piece's windows
+move, so no key has many of them: at most the anchor's occurrences below the second
+limit, and above it what three bytes on either side can be.
+
+Long documents are read in parts of CHUNK window starts, each with the LENGTH - 1
+bytes that follow, so memory does not grow with a document.
 
 Null texts are empty. Texts shorter than LENGTH lose nothing. A null id counts
 as the smallest; rows that share id and text are one document with one result;
@@ -29,24 +34,23 @@ the other. An empty table gives an empty result. Only id and text are read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, read, slices, staged, utf8
 from .shingles import _INVERSE, _P, MASK, _powers, mix
 from .suffix_array import permuted_lcp, suffix_array
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 #: An anchor with so many occurrences is cut into pieces of so many windows.
 PIECES = ((5_000, 4), (1_000, 16))
 SHARD_BYTES = 700_000
 #: Bytes of text that are hashed at once; some twenty arrays of eight bytes a byte live beside them.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES, CHUNK = 400_000, 400_000
 FIRST = -(1 << 63)
 
 
@@ -97,45 +101,71 @@ def anchors(data: bytes, bounds: np.ndarray, length: int = LENGTH, gram: int = G
     return text[first], start[first], start[last], anchor[first], value[anchor[first]], hashes
 
 
+def parts(column, chunk: int | None = None):
+    """(row, offset, data, bounds) of a text column: all of it, or a long text in parts whose window starts follow one another."""
+    chunk = chunk or CHUNK
+    data, bounds = utf8(column)
+    if len(column) > 1 or len(data) <= chunk + LENGTH:
+        yield np.arange(len(column)), 0, data, bounds
+        return
+    for at in range(0, max(1, len(data) - LENGTH + 1), chunk):
+        own = data[at : at + chunk + LENGTH - 1]
+        yield np.zeros(1, dtype=np.int64), at, own, np.array([0, len(own)])
+
+
 def anchor_hashes(docs: DataFrame) -> DataFrame:
-    """(id, hash, n) of (id, text): each distinct anchor of a document and how often it has it."""
+    """(id, hash, n) of (id, text): each distinct anchor of a document, or of a part of a long one, and how often it has it."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, chars=SLICE_BYTES):
-            text, _, _, _, value, _ = anchors(*utf8(batch.column(1)))
-            order = np.lexsort((value, text))
-            text, value = text[order], value[order]
-            new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1]))) if len(text) else np.zeros(0, np.int64)
-            n = np.diff(np.append(new, len(text)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text[new])), pa.array(value[new].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["id", "hash", "n"]
-            )
-
-    return docs.mapInArrow(run, "id bigint, hash bigint, n int")
+            for row, _, data, bounds in parts(batch.column(1)):
+                text, _, _, _, value, _ = anchors(data, bounds)
+                order = np.lexsort((value, text))
+                text, value = text[order], value[order]
+                new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1]))) if len(text) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[text[new]])), pa.array(value[new].view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "hash", "n"]
+                )
+
+    return docs.mapInArrow(run, "id bigint, hash bigint, n bigint")
+
+
+def united(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals (owner, begin, end) with those that touch or overlap made one, by owner and begin."""
+    if not len(owner):
+        return owner, begin, end
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    base = owner * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + base)
+    new = np.append(True, (begin + base)[1:] > reach[:-1])
+    new[1:] |= owner[1:] != owner[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], begin[first], reach[last] - base[first]
 
 
 def window_strings(docs: DataFrame) -> DataFrame:
     """The strings to sort, of (id, t, text, found: array of (hash, piece)).
 
-    (key, same, id, t, start, hot, string): windows of one content have one key;
+    (key, same, id, t, start, n, hot, string): windows of one content have one key;
     strings of one (key, same) are equal, and only the first in a slice has its bytes.
+    Rows without a key are bytes [start, start + n) of a document to remove, whose
+    windows stood earlier in it.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, chars=SLICE_BYTES, column=2):
-            data, bounds = utf8(batch.column(2))
+        def rows_of(batch, row, offset, data, bounds, wanted, piece, of_row):
             text, lo, hi, anchor, value, hashes = anchors(data, bounds)
-            found = batch.column(3)
-            of_row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
-            wanted, piece = (found.flatten().field(k).to_numpy() for k in (0, 1))
             salt = mix(np.arange(batch.num_rows, dtype=np.uint64))
             keys = wanted.view(np.uint64) ^ salt[of_row]
             order = np.argsort(keys)
-            probe = value ^ salt[text]
+            probe = value ^ salt[row[text]]
             at = np.minimum(np.searchsorted(keys[order], probe), max(0, len(keys) - 1))
             hit = (keys[order][at] == probe) if len(keys) else np.zeros(len(probe), bool)
             size = np.where(hit, piece[order][at] if len(keys) else 0, 0)
@@ -154,24 +184,44 @@ def window_strings(docs: DataFrame) -> DataFrame:
                 key = mix(v[k] ^ mix(core + q.astype(np.uint64)))
                 parts.append((t[k], np.maximum(a[k], p[k] - q * width - (width - 1)), np.minimum(b[k], p[k] - q * width), key, np.ones(len(k), bool)))
             if not parts:
-                continue
+                return None
             t, a, b, key, hot = (np.concatenate(x) for x in zip(*parts))
             same = hashes.of(a, b + LENGTH) ^ (b - a).astype(np.uint64)
             # in the order of the text, where neighbours overlap and so compress well
             order = np.argsort(a, kind="stable")
             t, a, b, key, hot, same = (x[order] for x in (t, a, b, key, hot, same))
+            content = mix(key ^ mix(same))
+            # of a document's equal strings the first stays
+            ones = np.zeros(len(key), bool)
+            ones[np.unique(mix(content ^ mix(t.astype(np.uint64))), return_index=True)[1]] = True
+            gone = united(t[~ones], a[~ones], b[~ones] + LENGTH)
+            t, a, b, key, hot, same, content = (x[ones] for x in (t, a, b, key, hot, same, content))
             new = np.zeros(len(key), bool)
-            new[np.unique(mix(key ^ mix(same)), return_index=True)[1]] = True
+            new[np.unique(content, return_index=True)[1]] = True
             strings = [data[x : y + LENGTH] if n else None for x, y, n in zip(a.tolist(), b.tolist(), new.tolist())]
-            yield pa.RecordBatch.from_arrays(
+            of = pa.array(row[np.append(t, gone[0])])
+            start, n = np.append(a, gone[1]), np.append(b - a + 1, gone[2] - gone[1])
+            without = np.append(np.zeros(len(t), bool), np.ones(len(gone[0]), bool))
+            pad = np.zeros(len(gone[0]), np.int64)
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), batch.column(0).take(pa.array(t)), batch.column(1).take(pa.array(t)),
-                    pa.array(a - bounds[t]), pa.array((b - a + 1).astype(np.int32)), pa.array(hot), pa.array(strings, pa.binary()),
+                    pa.array(np.append(key.view(np.int64), pad), mask=without), pa.array(np.append(same.view(np.int64), pad), mask=without),
+                    batch.column(0).take(of), batch.column(1).take(of), pa.array(start - bounds[np.append(t, gone[0])] + offset), pa.array(n),
+                    pa.array(np.append(hot, pad.astype(bool)), mask=without), pa.array([*strings, *[None] * len(gone[0])], pa.binary()),
                 ],
                 names=["key", "same", "id", "t", "start", "n", "hot", "string"],
             )
 
-    return docs.mapInArrow(run, "key bigint, same bigint, id bigint, t bigint, start bigint, n int, hot boolean, string binary")
+        for batch in slices(batches, chars=SLICE_BYTES, column=2):
+            found = batch.column(3)
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+            wanted, piece = (found.flatten().field(k).to_numpy() for k in (0, 1))
+            for row, offset, data, bounds in parts(batch.column(2)):
+                out = rows_of(batch, row, offset, data, bounds, wanted, piece, of_row)
+                if out is not None:
+                    yield out
+
+    return docs.mapInArrow(run, "key bigint, same bigint, id bigint, t bigint, start bigint, n bigint, hot boolean, string binary")
 
 
 def marked(strings: DataFrame) -> DataFrame:
@@ -280,20 +330,11 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, t bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose tables are written."""
-    for _ in range(2):  # objects of Python first, then what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, spans): rows (id, t, n_bytes, sha, copy), texts (id, t, text) of docs, and (id, t, spans), the spans an array of (start, end) to remove.
 
     Rows with copy are copies of a text of smaller id; they have no spans but go whole if long enough.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     slim = staged(plain.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
@@ -301,7 +342,6 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = staged(slim.groupBy("t", "sha").agg(F.min("id").alias("rep")), "firsts")
     rows = staged(slim.join(firsts, ["t", "sha"]).withColumn("copy", F.col("id") > F.col("rep")).drop("rep"), "rows")
     copies = rows.where("copy").select("id", "t").distinct()
-    settle(spark)
     own = staged(anchor_hashes(plain.select("id", "text")), "anchors")
     # a copy's anchors are its first text's; a document that is but a copy is not counted
     whole = staged(copies.join(rows.where("not copy").select("id").distinct(), "id", "left_anti").select("id").distinct(), "copied")
@@ -313,25 +353,20 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = counted.select("id", "hash").join(again.select("hash", piece.alias("piece")), "hash")
     found = staged(found.groupBy("id").agg(F.collect_list(F.struct("hash", "piece")).alias("found")), "found")
     discard(own)
-    settle(spark)
     firsts_only = plain.join(found, "id").join(copies, ["id", "t"], "left_anti")
     strings = staged(window_strings(firsts_only.select("id", "t", "text", "found")), "strings")
-    settle(spark)
     hot = strings.where("hot")
-    place = F.struct("id", "start", "t")
-    heads = staged(hot.groupBy("key", "same").agg(F.min(place).alias("head"), F.max("n").alias("n"), F.max("string").alias("string")), "heads")
-    distinct = heads.select("key", "same", "head.id", "head.t", "head.start", "n", F.lit(True).alias("hot"), "string")
-    dealt = strings.where("not hot").unionByName(distinct).repartition("key").sortWithinPartitions("key")
+    heads = hot.groupBy("key", "same").agg(F.min(F.struct("id", "start", "t")).alias("head"), F.max("n").alias("n"), F.max("string").alias("string"))
+    heads = staged(heads.select("key", "same", "head.id", "head.t", "head.start", "n", F.lit(True).alias("hot"), "string"), "heads")
+    dealt = strings.where("not hot").unionByName(heads).repartition("key").sortWithinPartitions("key")
     spans = staged(marked(dealt), "marked")
-    # of a frequent string every place but the head goes: a document's places less those where it is the head
-    piece = F.struct("start", "n", "key", "same")
-    own_heads = heads.select("head.id", "head.start", "n", "key", "same").groupBy("id").agg(F.collect_list(piece).alias("heads"))
-    places = hot.groupBy("id", "t").agg(F.collect_list(piece).alias("places")).join(own_heads, "id", "left")
-    later = F.array_except("places", F.when(F.col("heads").isNull(), F.slice("places", 1, 0)).otherwise(F.col("heads")))
-    later = places.select("id", "t", F.transform(later, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"] - 1 + LENGTH).alias("end"))).alias("spans"))
-    spans = spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans")).unionByName(later)
-    spans = spans.groupBy("id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    settle(spark)
+    # of a frequent string every place but the head goes; rows that share the head's id and place stand where it does
+    head = F.max("head").over(W.partitionBy("id", "start", "key", "same"))
+    places = hot.select("id", "t", "start", "n", "key", "same", F.lit(0).alias("head"))
+    places = places.unionByName(heads.select("id", "t", "start", "n", "key", "same", F.lit(1).alias("head"))).withColumn("first", head).where("first = 0")
+    later = places.select("id", "t", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+    own = strings.where("key is null").select("id", "t", "start", (F.col("start") + F.col("n")).alias("end"))
+    spans = spans.unionByName(later).unionByName(own).groupBy("id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return rows, plain, spans
 
 
