@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The characters that end a word for the whitespace word rule.
@@ -71,6 +72,19 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus)) == remainder
 
 
+def sampled_by_key(rows: DataFrame, key: str, id_col: str, most: int, seed: int) -> DataFrame:
+    """rows (key, id, ...) less all but the ``most`` of each key whose ids have the smallest hashes.
+
+    A limit from the keys' counts, with room for six standard deviations, leaves
+    little more than that before rows are ordered, so a frequent key is no large group.
+    """
+    counts = rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    h = uniform(F.col(id_col), F.lit(seed))
+    near = rows.withColumn("__h", h).join(counts, F.col(key) == F.col("__key")).where(F.col("__h") * F.col("__n") <= most + 6 * most**0.5 + 20)
+    order = W.partitionBy(key).orderBy("__h", id_col)
+    return near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k", "__h", "__n", "__key")
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than blanks; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
