@@ -12,7 +12,10 @@ the region's covers enough of the item, and enough of its answer (its last
 quarter) too.
 
 Pieces are searched in blocks, so the terms, factors and vectors that are
-broadcast are bounded by the block size. Within a block, at most RANK pieces
+broadcast are bounded by the block size; each block is searched in the documents
+themselves, and where there are several, what they find meets by the text's hash.
+Terms' projections are multiplied with the pieces' vectors beforehand, so a
+passage's products are sums of what its words give. Within a block, at most RANK pieces
 share a latent space, which thus holds each of them whole: no part of an item is
 lost in it, however many items there are. A term that many documents hold weighs
 nothing, unless it is among the rarest eight of a piece. Null texts are clean;
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import read, slices, utf8
+from .common import bounded_broadcast, read, slices, staged, utf8
 from .licenses import WORD
 from .shingles import word_hashes
 
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 4096, 256, 8, 2
 CELL, PASSAGES = 8, (4, 8)
+#: Terms whose documents are counted in one pass, and cells whose passages are held at once.
+COUNTED_TERMS, CELLS = 1 << 22, 1024
+#: Texts with an item that are sent to all documents; beyond, Spark joins them.
+BROADCAST_ROWS = 200_000
 #: So many words lie within one of the longest passages wherever they begin in a cell.
 PIECE = CELL * (PASSAGES[-1] - 1) + 1
 COMMON, RARE_KEPT = 0.1, 8
@@ -74,6 +81,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], n))], names=["term", "n"])
 
     rows = docs.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    shared.destroy()
     out, total = np.zeros(len(terms), dtype=np.int64), 0
     for t, n in zip(rows["term"], rows["n"]):
         if t < 0:
@@ -120,7 +128,7 @@ def latent_space(spark, items: list[np.ndarray], idf: np.ndarray, rank: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.large_binary())], names=["part"])
 
         parts = matrix.mapInArrow(run, "part binary").toArrow().column(0).to_pylist()
-        factor.unpersist()
+        factor.destroy()
         return np.sum([np.frombuffer(p, dtype=np.float32).reshape(x.shape) for p in parts], axis=0, dtype=np.float64)
 
     width = min(len(idf), rank + OVERSAMPLE)
@@ -129,6 +137,7 @@ def latent_space(spark, items: list[np.ndarray], idf: np.ndarray, rank: int) ->
         basis, _ = np.linalg.qr(times(basis))
     # A'A in the basis; its eigenvectors turn the basis into singular vectors
     small = basis.T @ times(basis)
+    fixed.destroy()
     value, vector = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-value)[:rank]
     return basis @ vector[:, order[value[order] > 1e-9]]
@@ -158,44 +167,63 @@ def pieces_of(words: np.ndarray) -> list[np.ndarray]:
     return np.array_split(words, -(-len(words) // PIECE)) if len(words) else []
 
 
-def passages_of(known: np.ndarray, cell: np.ndarray, cells: np.ndarray, factors: np.ndarray, idf: np.ndarray, of_doc: np.ndarray):
-    """Yields (number of cells, vectors, norms) of the passages that begin at each cell."""
-    n = len(cells)
-    sums, mass = np.zeros((n, factors.shape[1]), dtype=np.float32), np.zeros(n)
+def passages_of(known: np.ndarray, cell: np.ndarray, n: int, products: np.ndarray, idf: np.ndarray, of_doc: np.ndarray):
+    """Yields (number of cells, products with each item, norms) of the passages that begin at each of n cells; their sizes are powers of two."""
+    sums, mass = np.zeros((n, products.shape[1]), dtype=np.float32), np.zeros(n)
     if len(known):
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sums[cell[first]] = np.add.reduceat(factors[known], first, axis=0)
+        sums[cell[first]] = np.add.reduceat(products[known], first, axis=0)
         mass = np.bincount(cell, weights=idf[known] ** 2, minlength=n)
-    vectors, norms, done = sums.copy(), mass.copy(), 1
-    for size in PASSAGES:
-        for j in range(done, size):
-            same = np.flatnonzero(of_doc[: n - j] == of_doc[j:]) if n > j else np.zeros(0, dtype=np.int64)
-            vectors[same] += sums[same + j]
-            norms[same] += mass[same + j]
-        done = size
-        yield size, vectors, np.sqrt(norms)
-
-
-def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row a row of docs (id of any type, text): id, text, and hits, an array of (item, lcs share), by item.
-
-    benchmark: (id, text); its items are taken in blocks by order of id.
+    size = 1
+    while True:
+        if size in PASSAGES:
+            yield size, sums, np.sqrt(mass)
+        if size >= PASSAGES[-1]:
+            return
+        # a passage of twice the size is two that follow one another, but where the document ends
+        apart = np.flatnonzero(of_doc[: max(0, n - size)] != of_doc[size:])
+        both, weight = sums.copy(), mass.copy()
+        both[: max(0, n - size)] += sums[size:]
+        weight[: max(0, n - size)] += mass[size:]
+        both[apart], weight[apart] = sums[apart], mass[apart]
+        sums, mass, size = both, weight, size * 2
+
+
+def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS, with_text: bool = True) -> DataFrame:
+    """One row a row of docs (id of any type, text): id, text (if wanted), and hits, an array of (item, lcs share), by item.
+
+    benchmark: (id, text); its items are taken in blocks by order of id. The items,
+    which are the queries of the search, are on the driver; documents never are.
     """
-    spark = docs.sparkSession
-    out, blocks = None, []
-    order = benchmark.where("id is not null and text is not null").orderBy("id", "text")
-    n_items = order.count()
-    numbered = order.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["id"], r[0]["text"])) if n_items > block_items else None
-    for at in range(0, n_items, block_items):
-        rows = order.collect() if numbered is None else [r[1:] for r in numbered.filter(lambda r: at <= r[0] < at + block_items).collect()]
-        blocks.append([(r[0], r[1]) for r in rows])
+    blocks: list[list] = [[]]
+    for r in benchmark.where("id is not null and text is not null").orderBy("id", "text").toLocalIterator():
+        if len(blocks[-1]) == block_items:
+            blocks.append([])
+        blocks[-1].append((r["id"], r["text"]))
+    passes = []
     for block in blocks:
         pieces = [(k, w) for k, own in enumerate(words_of(block)) for w in pieces_of(own)]
-        for at in range(0, len(pieces), block_items):
-            out = _search_block(docs, docs if out is None else out, spark, block, pieces[at : at + block_items], rank)
-    if out is None:
-        out = docs.select("id", "text", F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
-    return out
+        passes += [(block, pieces[at : at + block_items]) for at in range(0, len(pieces), block_items)]
+    if not passes:
+        return docs.select("id", *["text"] * with_text, F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
+    terms = np.unique(np.concatenate([w for _, pieces in passes for _, w in pieces]))
+    df = np.zeros(len(terms), dtype=np.int64)
+    for at in range(0, len(terms), COUNTED_TERMS):
+        df[at : at + COUNTED_TERMS], n = document_frequencies(docs.select("id", "text"), terms[at : at + COUNTED_TERMS])
+    if len(passes) == 1:
+        return _search_block(docs, *passes[0], terms, df, n, rank, with_text)[0]
+    text_hash = [F.xxhash64("text", F.lit(k)).alias(f"h{k}") for k in (1, 2)]
+    found = None
+    for block, pieces in passes:
+        hits, shared = _search_block(docs, block, pieces, terms, df, n, rank)
+        own = staged(hits.where(F.size("hits") > 0).select(*text_hash, F.explode("hits").alias("hit")).select("h1", "h2", "hit.*").distinct(), "hits")
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    # an item that two passes hold parts of is found by either
+    found = found.groupBy("h1", "h2", "item").agg(F.max("share").alias("share")).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("item", "share"))).alias("hits"))
+    found = staged(found, "hits")
+    joined = docs.select("id", "text", *text_hash).join(bounded_broadcast(found, found.count(), BROADCAST_ROWS), ["h1", "h2"], "left")
+    return joined.select("id", *["text"] * with_text, F.coalesce("hits", F.array().cast("array<struct<item:bigint,share:double>>")).alias("hits"))
 
 
 def words_of(block: list) -> list[np.ndarray]:
@@ -224,7 +252,7 @@ def space_of(spark, items: list[np.ndarray], terms: np.ndarray, idf: np.ndarray,
         norms[k] = np.linalg.norm(tf * idf[own][at])
     local[own[idf[own] <= 0]] = -1
     return {
-        "local": local, "idf": idf[own], "factors": (idf[own][:, None] * v).astype(np.float32), "items": vectors.T.astype(np.float32),
+        "local": local, "idf": idf[own], "products": ((idf[own][:, None] * v) @ vectors.T).astype(np.float32),
         "norms": np.maximum(norms, 1e-9), "mass": np.maximum((vectors**2).sum(1), 1e-12),
     }
 
@@ -233,26 +261,28 @@ def candidates(space: dict, at: np.ndarray, cell: np.ndarray, of_doc: np.ndarray
     """Yields (number of cells, first cell, item of the space) of the passages that pass the limits. at: place of each word in the terms, -1 if none."""
     known = space["local"][at]
     use = known >= 0
-    least = 0.999 * np.sqrt(space["mass"].min())
-    for size, vectors, norms in passages_of(known[use], cell[use], np.arange(len(of_doc)), space["factors"], space["idf"], of_doc):
-        # a product is at most that of the lengths, so shorter vectors pass with no item
-        length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        some = np.flatnonzero((length >= MASS * least) & ((length >= 0.999 * COSINE * norms) | (length >= WHOLE * least)))
-        for k in range(0, len(some), 4096):
-            rows = some[k : k + 4096]
-            dots = vectors[rows] @ space["items"]
-            good = (dots >= MASS * space["mass"]) & (dots >= COSINE * norms[rows][:, None] * space["norms"])
-            good |= dots >= WHOLE * space["mass"]
+    known, cell, n = known[use], cell[use], len(of_doc)
+    least, norms_of, mass_of = (MASS * space["mass"]).astype(np.float32) * np.float32(1 - 1e-6), space["norms"], space["mass"]
+    for begin in range(0, n, CELLS):
+        end = min(n, begin + CELLS)
+        upto = min(n, end + PASSAGES[-1] - 1)  # passages that begin before the end reach so far
+        lo, hi = np.searchsorted(cell, [begin, upto])
+        for size, dots, norms in passages_of(known[lo:hi], cell[lo:hi] - begin, upto - begin, space["products"], space["idf"], of_doc[begin:upto]):
+            rows = np.flatnonzero((dots[: end - begin] >= least).any(1))
+            own = dots[rows]
+            good = (own >= MASS * mass_of) & (own >= COSINE * norms[rows][:, None] * norms_of)
+            good |= own >= WHOLE * mass_of
             for r, item in zip(*(x.tolist() for x in np.nonzero(good))):
-                yield size, int(rows[r]), item
+                yield size, begin + int(rows[r]), item
 
 
-def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, pieces: list, rank: int) -> DataFrame:
-    """before (docs, with hits after the first pass), with the hits of the items that hold these pieces, (place in the block, words), added."""
+def _search_block(docs: DataFrame, block: list, pieces: list, all_terms: np.ndarray, all_df: np.ndarray, n: int, rank: int, with_text: bool = True):
+    """(docs with the hits of the items that hold these pieces, (place in the block, words); what was broadcast for it)."""
     import pyarrow as pa
 
+    spark = docs.sparkSession
     terms = np.unique(np.concatenate([w for _, w in pieces]))
-    df, n = document_frequencies(docs.select("id", "text"), terms)
+    df = all_df[np.searchsorted(all_terms, terms)]
     owners, piece_places = [k for k, _ in pieces], [places(w, terms) for _, w in pieces]
     idf = weights_of(piece_places, df, n)
     # only whole items are compared, and only those of these pieces are sent
@@ -266,7 +296,7 @@ def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, pieces
     def run(batches):
         m = shared.value
         masks = [(bits(w), len(w), bits(w[-max(1, len(w) // 4) :]), max(1, len(w) // 4)) for w in m["words"]]
-        for batch in slices(batches, chars=400_000):
+        for batch in slices(batches):
             words, counts = tokens(batch.column(1))
             hits: list[dict[int, float]] = [{} for _ in counts]
             begins = np.cumsum(counts) - counts
@@ -292,18 +322,20 @@ def _search_block(docs: DataFrame, before: DataFrame, spark, block: list, pieces
                     share = lcs(mask, length, region) / length
                     if share >= LCS and lcs(answer, n_answer, region) / n_answer >= ANSWER:
                         hits[d][item] = max(hits[d].get(item, 0.0), share)
-            found = [{(m["ids"][k], s) for k, s in h.items()} for h in hits]
-            if "hits" in batch.schema.names:
-                for f, old in zip(found, batch.column(2).to_pylist()):
-                    f.update((x["item"], x["share"]) for x in old)
-            best = [sorted({i: max(s for j, s in f if j == i) for i, _ in f}.items()) for f in found]
             kind = pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))
-            rows = [[{"item": i, "share": s} for i, s in b] for b in best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["id", "text", "hits"])
+            rows = []
+            for h in hits:
+                best: dict[int, float] = {}  # items of one id are one
+                for k, share in h.items():
+                    best[m["ids"][k]] = max(share, best.get(m["ids"][k], 0.0))
+                rows.append([{"item": i, "share": s} for i, s in sorted(best.items())])
+            out = [("id", batch.column(0)), *[("text", batch.column(1))] * with_text, ("hits", pa.array(rows, kind))]
+            yield pa.RecordBatch.from_arrays([x for _, x in out], names=[name for name, _ in out])
 
-    kept = before.select("id", "text", *(["hits"] if "hits" in before.columns else []))
     hits = ArrayType(StructType().add("item", LongType()).add("share", DoubleType()))
-    return kept.mapInArrow(run, StructType().add("id", docs.schema["id"].dataType).add("text", StringType()).add("hits", hits))
+    schema = StructType().add("id", docs.schema["id"].dataType)
+    schema = (schema.add("text", StringType()) if with_text else schema).add("hits", hits)
+    return docs.select("id", "text").mapInArrow(run, schema), shared
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -311,6 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = search(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
         benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).alias("text")),
+        with_text=False,
     )
     return found.select(
         F.col("id").alias(id_col),
