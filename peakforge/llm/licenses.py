@@ -1,25 +1,31 @@
 """License scans: ordered signature rules behind a keyword gate.
 
-Signatures are regexes over lower-cased bytes, made from a table of licenses and
-the ways in which texts name them. Only texts with a keyword meet the regexes.
+Signatures are regexes over lower-cased bytes: wording of licenses, written by
+hand (license_texts), and the identifiers and names of a table of licenses. One
+pass over a block of texts finds the keywords, of which every signature has one
+that it cannot do without; a signature meets only the texts with its own.
 Overlapping detections are resolved by priority: a detection that lies within
 one of a smaller priority number, or of the same and earlier in the table, is
 dropped; base phrases are always reported.
 
 Words are runs of letters, digits and characters beyond ASCII; counting them
 takes one pass over the bytes of a block. Null texts are empty (no words, no
-labels, score 0). Rows are judged one by one; only id and text are read.
+labels, score 0). Rows are judged one by one, so repeated rows get equal results; an
+empty table gives an empty result. Only id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, slices, utf8
+from .license_texts import TEXTS
 
 #: Base phrases and their labels.
 PHRASES = (
@@ -96,31 +102,10 @@ LICENSES = (
 #: Ways of naming a license: priority, score, and how the regex is made from the identifier and the name.
 FORMS = (
     (0, 1.00, lambda i, n: rb"spdx license identifier " + i + rb"(?: only| or later)?"),
-    (1, 0.95, lambda i, n: rb"(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?" + n + VERSION),
-    (2, 0.90, lambda i, n: n + rb" (?:v|ver|version) ?[0-9]+(?: [0-9]+)*"),
-    (3, 0.80, lambda i, n: n),
+    (3, 0.80, lambda i, n: n + rb"(?: (?:v|ver|version) ?[0-9]+(?: [0-9]+)*)?"),
 )
-VERSION = rb"(?: (?:v|ver|version) ?[0-9]+(?: [0-9]+)*| [0-9]+(?: [0-9]+)*)?"
 BASE_SCORE = 0.6
 
-#: Signatures that follow no form: priority, score, label, words.
-SPECIAL = (
-    (1, 0.95, "mit", b"permission is hereby granted free of charge to any person obtaining a copy"),
-    (1, 0.95, "bsd", b"redistribution and use in source and binary forms"),
-    (1, 0.95, "apache-2.0", b"www apache org licenses license 2 0"),
-    (1, 0.95, "gpl-2.0", b"www gnu org licenses(?: old licenses)? gpl"),
-    (2, 0.90, "cc-by", b"creativecommons org licenses by"),
-    (2, 0.90, "cc-by-sa", b"cc by sa(?: [0-9] [0-9])?"),
-    (2, 0.90, "cc-by-nc", b"cc by nc(?: [0-9] [0-9])?"),
-    (2, 0.90, "cc-by-nd", b"cc by nd(?: [0-9] [0-9])?"),
-    (3, 0.80, "cc-by-4.0", b"cc by 4 0"),
-    (3, 0.80, "proprietary", b"all rights reserved"),
-    (3, 0.80, "public-domain", b"(?:in|into) the public domain"),
-    (3, 0.80, "gpl", b"(?:gnu )?gpl(?: ?v?[23])?"),
-)
-#: Every signature holds one of these; the base phrases too. Blanks stand for what separates words.
-KEYWORDS = (b"licen", b"spdx", b"cc", b"gpl", b"creativecommons", b"creative commons", b"redistribution", b"permission is hereby", b"rights reserved", b"public domain")
-
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -129,27 +114,68 @@ LEFT, RIGHT = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
 
 def signature(words: bytes) -> re.Pattern:
     """A regex over lower-cased bytes; each blank stands for what separates words."""
-    return re.compile(LEFT + b"(?:" + words.replace(b" ?", b"(?:" + GAP + b")?").replace(b" ", GAP) + b")" + RIGHT)
+    return re.compile(LEFT + b"(?:" + words.replace(b" ?", b"(?:" + GAP + b")?").replace(b" ", GAP) + b")" + RIGHT, re.DOTALL)
+
 
+def keywords(words: bytes) -> tuple[bytes, ...]:
+    """The longest literal of each alternative of a signature: a text that matches holds one of them."""
+    plain = words
+    while (less := re.sub(rb"\(\?:[^()]*\)\??", b" ", plain)) != plain:
+        plain = less
+    plain = re.sub(rb"\[[^\]]*\](?:[*+?]|\{[^}]*\})?|\.\{[^}]*\}|[a-z0-9]\?", b" ", plain.replace(b" ?", b" "))
+    return tuple(max(re.findall(rb"[a-z0-9]+", x), key=len) for x in plain.split(b"|"))
 
-def signatures() -> list[tuple[int, float, str, re.Pattern]]:
-    """All rules in the order in which they are applied."""
+
+def signatures() -> list[tuple[int, float, str, re.Pattern, tuple[bytes, ...]]]:
+    """All rules in the order in which they are applied: priority, score, label, regex, keywords."""
     rules = [(p, s, label, make(re.sub(rb"[^a-z0-9]+", b" ", label.encode()), name.encode())) for label, name in LICENSES for p, s, make in FORMS]
-    rules += list(SPECIAL)
-    return [(p, s, label, signature(words)) for p, s, label, words in sorted(rules, key=lambda r: r[0])]
+    rules += [(p, s, label, words) for label, p, s, words in TEXTS]
+    return [(p, s, label, signature(words), keywords(words)) for p, s, label, words in sorted(rules, key=lambda r: r[0])]
+
+
+class Covered:
+    """Intervals that were kept, by where they begin, with how far those up to each reach."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.begins: list[int] = []
+        self.reach: list[int] = []
+
+    def holds(self, begin: int, end: int) -> bool:
+        at = bisect_right(self.begins, begin) - 1
+        return at >= 0 and self.reach[at] >= end
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(self.spans + spans)
+        self.begins = [a for a, _ in self.spans]
+        self.reach = np.maximum.accumulate([b for _, b in self.spans]).tolist()
 
 
 def detect(text: bytes, rules, base) -> tuple[list, list]:
     """(base places as (start, label), detections as (start, end, label, score)) of lower-cased bytes."""
     places = [(m.start(), label) for label, regex in base for m in regex.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
-    for _, score, label, regex in rules:
-        for m in regex.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b, _, _ in kept):
-                kept.append((m.start(), m.end(), label, score))
+    covered = Covered()
+    for _, score, label, regex, _ in rules:
+        # detections of one rule do not overlap
+        new = [m.span() for m in regex.finditer(text) if not covered.holds(*m.span())]
+        if new:
+            covered.add(new)
+            kept += [(a, b, label, score) for a, b in new]
     return places, kept
 
 
+def gate(words: list[bytes]):
+    """An automaton that finds the places of words, by number, in a text read as Latin-1."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        out.add_word(w.decode(), k)
+    out.make_automaton()
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections with byte spans."""
 
@@ -157,8 +183,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         import pyarrow as pa
 
         rules = signatures()
-        base = [(label, signature(words.encode())) for words, label in PHRASES]
-        gate = re.compile(b"|".join(KEYWORDS).replace(b" ", GAP))
+        base = [(label, signature(words.encode()), keywords(words.encode())) for words, label in PHRASES]
+        words = sorted({k for r in rules for k in r[-1]} | {k for b in base for k in b[-1]})
+        number = {w: k for k, w in enumerate(words)}
+        rules_of, base_of = ([frozenset(number[k] for k in r[-1]) for r in x] for x in (rules, base))
+        found_by = gate(words)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))
         for batch in slices(batches):
             data, bounds = utf8(batch.column(1))
@@ -172,9 +201,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             at = np.searchsorted(first, bounds)
             n = batch.num_rows
             n_base, lo, hi, base_labels, labels, score, found = [0] * n, [None] * n, [None] * n, [""] * n, [""] * n, [0.0] * n, [[]] * n
-            ends = bounds.tolist()
-            for i in (i for i in range(n) if gate.search(data, ends[i], ends[i + 1])):
-                places, kept = detect(data[bounds[i] : bounds[i + 1]], rules, base)
+            # a word that straddles two texts is counted to the second, which costs a look
+            hits = np.array(list(found_by.iter(data.decode("latin-1"))), dtype=np.int64).reshape(-1, 2)
+            hits = np.unique((np.searchsorted(bounds, hits[:, 0], side="right") - 1) * len(words) + hits[:, 1])
+            owner, word = np.divmod(hits, len(words))
+            cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+            for i, own in zip(owner[cut].tolist(), np.split(word, cut[1:])):
+                have = set(own.tolist())
+                some = [r for r, need in zip(rules, rules_of) if not need.isdisjoint(have)]
+                places, kept = detect(data[bounds[i] : bounds[i + 1]], some, [b[:2] for b, need in zip(base, base_of) if not need.isdisjoint(have)])
                 if places:
                     where = np.searchsorted(first, bounds[i] + np.array([p for p, _ in places])) - at[i]
                     n_base[i], lo[i], hi[i] = len(places), int(where.min()), int(where.max())
