@@ -2,7 +2,7 @@
 
 Training counts words and n-grams of whole texts, by language, over a bounded
 sample of labelled documents (``train_docs`` a language, those of the smallest
-hash). A word that the model knows scores its log frequency in each language;
+hash); the model has all of them, so its size follows that of the sample. A word that the model knows scores its log frequency in each language;
 an unseen word scores the mean log frequency of its n-grams of the greatest
 length of which any is known. A document's language has the greatest sum.
 
@@ -15,16 +15,18 @@ language only for training.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, read, slices
+from .common import held_out, read, sampled_by_key, slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What is alphanumeric but neither a letter nor a decimal digit, as superscripts, fractions and Roman numerals.
+OTHER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{OTHER}]+")
 LONGEST = 4
 KNOWN_CACHE = 200_000
 
@@ -34,15 +36,10 @@ def ngrams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def train(
-    docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 1500, words: int = 30_000, grams: int = 15_000
-) -> dict:
-    """The model: at most so many words and n-grams a language, from at most so many documents a language."""
-    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")
-    )
-    order = W.partitionBy("lang").orderBy("h", "id")
-    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).select("id").distinct()
+def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 1500) -> dict:
+    """The model: all words and n-grams of at most so many documents a language."""
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    chosen = sampled_by_key(labelled.distinct(), "lang", "id", train_docs, 5).select("id").distinct()
     texts = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def count(batches):
@@ -65,10 +62,7 @@ def train(
                 )
 
     counts = texts.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(count, "lang string, kind string, token string, n bigint")
-    counts = counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    top = W.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "token")
-    most = F.when(F.col("kind") == "w", F.lit(words)).otherwise(F.lit(grams))
-    rows = counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= most).drop("k").toArrow().to_pydict()
+    rows = counts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # of the sample
     langs = sorted(set(rows["lang"]))
     place = {x: i for i, x in enumerate(langs)}
     tables = {}
