@@ -17,10 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import held_out, read, sampled_by_key
 from .quality_rules import measures
 
 #: The statistics that rules may name.
@@ -157,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, train_docs: int = 3000, **
     seen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & usable(F.col("doc_id")))
     own = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in seen.groupBy("quality").count().collect()}
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    chosen = own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).drop("k")
+    chosen = sampled_by_key(own, "quality", "doc_id", train_docs, 17)
     # at most 2 * train_docs rows
     sample = measures(docs.join(F.broadcast(chosen), "doc_id"), "text", "doc_id", "quality", more=True).select("doc_id", "quality", *STATISTICS)
     rows = sample.toPandas().sort_values(["doc_id", *STATISTICS])
