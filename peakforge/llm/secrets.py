@@ -2,12 +2,13 @@
 
 From each rule's regex a Boolean query over trigrams is derived: texts that
 match must contain them. A block of documents is indexed by the trigrams that
-any query names, postings are intersected and united as the query says, and
-only the candidates are scanned. A rule without mandatory trigrams scans all.
+any query names, in one pass over its bytes, postings are intersected and united
+as the query says, and only the candidates are scanned. A rule without mandatory trigrams scans all.
 
 Trigrams are compared in lower case, which can only add candidates. Null texts
 are empty; empty texts have no spans; rows are judged one by one, so repeated
-rows get equal results. Only id and text are read.
+rows get equal results; an empty table gives an empty one. Only id and text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import re
 from dataclasses import dataclass
 from re import _parser
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import read, slices, utf8
 
 ALL = ("all",)
 FEW_STRINGS, FEW_CHARS = 96, 8
@@ -152,14 +154,31 @@ def candidates(query: tuple, postings: dict[str, set[int]], everything: range) -
     return set.intersection(*sets) if query[0] == "and" else set.union(*sets)
 
 
-def _index(texts: list[str], grams: list[str]) -> dict[str, set[int]]:
-    postings: dict[str, set[int]] = {g: set() for g in grams}
-    for i, t in enumerate(texts):
-        low = t.lower()
-        for g in grams:
-            if g in low:
-                postings[g].add(i)
-    return postings
+class TrigramIndex:
+    """Which texts of a block hold which of some trigrams, in lower case, from one pass over the block's bytes."""
+
+    def __init__(self, grams: list[str]):
+        # a trigram beyond ASCII tells nothing here: all texts are taken to hold it
+        self.grams = sorted(g for g in grams if g.isascii())
+        self.open = [g for g in grams if not g.isascii()]
+        self.codes = np.array([int.from_bytes(g.encode(), "big") for g in self.grams], dtype=np.uint32)
+        self.begins = np.zeros(1 << 16, dtype=bool)
+        self.begins[self.codes >> 8] = True
+
+    def postings(self, data: bytes, bounds: np.ndarray) -> dict[str, set[int]]:
+        out: dict[str, set[int]] = {g: set() for g in self.grams} | {g: set(range(len(bounds) - 1)) for g in self.open}
+        raw = np.frombuffer(data.lower(), dtype=np.uint8)
+        if len(raw) < 3 or not len(self.codes):
+            return out
+        pair = raw[:-2].astype(np.uint16) << 8 | raw[1:-1]
+        at = np.flatnonzero(self.begins[pair])
+        code = pair[at].astype(np.uint32) << 8 | raw[at + 2]
+        which = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        found = (self.codes[which] == code) & (at + 3 <= bounds[owner + 1])
+        for k, i in np.unique(np.column_stack([which[found], owner[found]]), axis=0).tolist():
+            out[self.grams[k]].add(i)
+        return out
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -169,11 +188,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         import pyarrow as pa
 
         compiled = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
-        grams = sorted(set().union(*[grams_of(q) for _, _, q in compiled]))
+        index = TrigramIndex(sorted(set().union(*[grams_of(q) for _, _, q in compiled])))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            postings, found = _index(texts, grams), [[] for _ in texts]
+            postings, found = index.postings(*utf8(batch.column(1))), [[] for _ in texts]
             for k, (rule, regex, query) in enumerate(compiled):
                 for i in candidates(query, postings, range(len(texts))):
                     for m in regex.finditer(texts[i]):
