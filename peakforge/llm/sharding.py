@@ -11,7 +11,9 @@ shards that give or take a block are rewritten.
 What reaches the driver is the table of blocks, whose size depends on the
 numbers of shards and blocks alone. Null texts count as empty; rows with equal
 ids and texts stay together; an empty table gives an empty result. Only id and
-text are read, so other columns cannot clash.
+text are read. Where the input has columns of the names that are added, its own
+are kept as ``input_shard`` and ``input_old_shard`` (with more ``input_`` in front
+while such a name is taken too).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,12 +118,19 @@ def plan_moves(units: list[tuple[int, int]], shards: int) -> list[int]:
     return new
 
 
-def assigned(docs: DataFrame, shards: int = 40, blocks: int = 256, grain: int = 128, id_col: str = "doc_id", text_col: str = "text"):
+def old_shard(text: Column, old_col: str | None, shards: int) -> Column:
+    """The shard that a row lies in: a column of the input (of a number from 0), or the hash of its text."""
+    h = F.xxhash64(text) if old_col is None else F.coalesce(F.col(old_col).cast("long"), F.lit(0))
+    return F.pmod(h, F.lit(shards)).cast("int")
+
+
+def assigned(docs: DataFrame, shards: int = 40, blocks: int = 256, grain: int = 128, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None):
     """(slim, plan): rows (id, size, crc, h, doc_h), and the plan of units.
 
-    A unit is (old, block, part); its rows have pmod(h, shards) = old,
+    A unit is (old, block, part); its rows have old_shard = old,
     pmod(h >> 20, blocks) = block and pmod(doc_h, parts) = part. grain: units
-    are at most about one grain-th of a shard.
+    are at most about one grain-th of a shard. old_col: where documents lie now, as
+    a column; shards beyond the new number are taken modulo it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h = F.xxhash64(text)
@@ -130,7 +139,7 @@ def assigned(docs: DataFrame, shards: int = 40, blocks: int = 256, grain: int =
             F.col(id_col).alias("id"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),
-            F.pmod(h, F.lit(shards)).cast("int").alias("old"),
+            old_shard(text, old_col, shards).alias("old"),
             F.pmod(F.shiftright(h, 20), F.lit(blocks)).cast("int").alias("block"),
             F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 2).alias("doc_h"),
         ),
@@ -163,20 +172,27 @@ def reshard(docs: DataFrame, shards: int = 40, **options) -> DataFrame:
     )
 
 
-def with_shards(docs: DataFrame, shards: int = 40, blocks: int = 256) -> DataFrame:
+def with_shards(docs: DataFrame, shards: int = 40, blocks: int = 256, old_col: str | None = None) -> DataFrame:
     """docs with the columns old_shard and shard; texts are not shuffled."""
-    _, parts, plan = assigned(docs, shards, blocks)
+    _, parts, plan = assigned(docs, shards, blocks, old_col=old_col)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
     h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     keyed = docs.select(
         row,
-        F.pmod(h, F.lit(shards)).cast("int").alias("old"),
+        old_shard(F.coalesce(docs["text"], F.lit("")), old_col, shards).alias("old"),
         F.pmod(F.shiftright(h, 20), F.lit(blocks)).cast("int").alias("block"),
         F.shiftrightunsigned(F.xxhash64(docs["doc_id"], F.lit(11)), 2).alias("doc_h"),
     )
     placed = keyed.join(parts, ["old", "block"]).withColumn("part", F.pmod(F.col("doc_h"), F.col("parts")).cast("int")).join(plan, ["old", "block", "part"])
     names = {"old_shard": "old", "shard": "shard"}
-    return placed.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in names], *[F.col(v).alias(k) for k, v in names.items()])
+    taken, own = {c.lower() for c in (*docs.columns, *names)}, []
+    for c in docs.columns:
+        new = c
+        while c.lower() in names and new.lower() in taken:
+            new = f"input_{new}"
+        taken.add(new.lower())
+        own.append(F.col("__row")[c].alias(new))
+    return placed.select(*own, *[F.col(v).alias(k) for k, v in names.items()])
 
 
 def rewrite(placed: DataFrame, path: str) -> DataFrame:
