@@ -47,9 +47,14 @@ def by_id(ground_truth: DataFrame, ids: DataFrame, spec_files: DataFrame) -> Dat
     return ground_truth.join(ids.select("id").distinct(), "id", "left_semi").join(spec_files.select("file_id", "filename"), "file_id", "left")
 
 
-def file_of(ids: DataFrame, spec_files: DataFrame) -> DataFrame:
-    """ids with the file whose range holds them; the table of files is small beside the ids."""
-    return ids.join(spec_files, (F.col("id") >= F.col("start")) & (F.col("id") < F.col("end")))
+def file_of(ids: DataFrame, spec_files: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """ids with the file whose range holds them.
+
+    An equality join by block of ids: a file stands in each block that its range
+    touches, so files are repeated by their spectra over the block size, at most once more than that.
+    """
+    files = spec_files.where("start < end").withColumn("__k", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    return ids.withColumn("__k", F.floor(F.col("id") / block)).join(files, "__k").where("id >= start and id < end").drop("__k")
 
 
 def files_ending(spec_files: DataFrame, suffix: str, limit: int = 10) -> DataFrame:
@@ -80,6 +85,17 @@ def in_search_space(peptides: DataFrame, ground_truth: DataFrame, excluded_files
     return peptides.join(known, "peptide", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def ending_at(spec_files: DataFrame, end: int) -> DataFrame:
+    """Files whose range ends at an id."""
+    return spec_files.where(F.col("end") == end)
+
+
+def without_charge(ground_truth: DataFrame) -> DataFrame:
+    """Annotated spectra with charge 0."""
+    known = F.col("peptide").isNotNull() & ~F.col("peptide").isin("", "UNKNOWN")
+    return ground_truth.where((F.col("charge") == 0) & known)
+
+
 def with_energy(ground_truth: DataFrame) -> DataFrame:
     return ground_truth.where("ce is not null and ce <> ''")
 
@@ -127,6 +143,14 @@ def new_files(spec_files: DataFrame, files: DataFrame) -> DataFrame:
     return files.withColumn("__t", tail).join(spec_files.select(tail.alias("__t")).distinct(), "__t", "left_anti").drop("__t")
 
 
+def with_source(gt_files: DataFrame, path: str) -> DataFrame:
+    """gt_files with the annotation source, if none of its basename is there."""
+    tail = F.regexp_extract("filename", r"([^/\\]*)$", 1)
+    row = gt_files.agg(F.coalesce(F.max("file_id") + 1, F.lit(0)).cast("int").alias("file_id")).select("file_id", F.lit(path).alias("filename"))
+    new = row.withColumn("__t", tail).join(gt_files.select(tail.alias("__t")), "__t", "left_anti")  # one row against the list of sources
+    return gt_files.unionByName(new.drop("__t"))
+
+
 def without_last(table: DataFrame, spec_files: DataFrame, n: int) -> DataFrame:
     """table (with file_id) without the rows of the last n files."""
     limit = spec_files.agg((F.max("file_id") - n).alias("keep"))
@@ -166,11 +190,17 @@ def store_neighbors(ground_truth: DataFrame, neighbors: DataFrame) -> DataFrame:
 # --- text tables --------------------------------------------------------------------------
 
 
+def numbered(table: DataFrame, key: str, name: str = "__i") -> DataFrame:
+    """table with the place of each row in the order of a key, from 0: sorted by range, numbered by partition sizes."""
+    from pyspark.sql import types as T
+
+    rows = table.orderBy(key).rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return table.sparkSession.createDataFrame(rows, T.StructType([*table.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def joined_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of two tables side by side, in the order of a key each; the tables have equally many rows."""
-    a = left.withColumn("__i", F.row_number().over(W.orderBy(left_key)))
-    b = right.withColumn("__i", F.row_number().over(W.orderBy(right_key)))
-    return a.join(b, "__i").drop("__i")
+    return numbered(left, left_key).join(numbered(right, right_key), "__i").drop("__i")
 
 
 def first_by_key(table: DataFrame, key: str, order: str) -> DataFrame:

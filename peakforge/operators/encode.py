@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.config import BINS, DUMMY_MZ, ISOTOPE, MAX_MZ, MAX_PEAKS, PROTON, VECTOR_BINS, VECTOR_WIDTH
+from ..plans.config import BINS, DUMMY_MZ, ISOTOPE, MAX_MZ, MAX_PEAKS, PROTON, VECTOR_BINS, VECTOR_DIMS, VECTOR_WIDTH
 
 PEAKS = "array<struct<mz:double,intensity:double>>"
 
@@ -40,8 +40,9 @@ def by_intensity(peaks: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda p: F.struct(p["mz"], p["intensity"]))
 
 
-def in_precursor_window(mz: Column, precursor: Column) -> Column:
-    double = 2 * precursor - PROTON
+def in_precursor_window(mz: Column, precursor: Column, double: Column | None = None) -> Column:
+    """Whether a peak is near the precursor or near its doubled m/z (by default that of the singly charged ion)."""
+    double = 2 * precursor - PROTON if double is None else double
     near = lambda c: (mz > c - 17) & (mz < c + 3)
     return F.coalesce(near(precursor) | near(double), F.lit(False))
 
@@ -55,13 +56,13 @@ def is_immonium(mz: Column) -> Column:
 
 
 def low_intensity_cut(peaks: Column, precursor: Column, remove_precursor: bool = True, share: float = 0.02) -> Column:
-    """2 % of the second most intense of the peaks that count."""
+    """2 % of the second most intense of the peaks that count; 0 if fewer than two do. The doubled window is about twice the precursor's m/z here."""
     counted = F.filter(
         peaks,
-        lambda p: ~is_reporter(p["mz"]) & ~is_immonium(p["mz"]) & (~in_precursor_window(p["mz"], precursor) if remove_precursor else F.lit(True)),
+        lambda p: ~is_reporter(p["mz"]) & ~is_immonium(p["mz"]) & (~in_precursor_window(p["mz"], precursor, 2 * precursor) if remove_precursor else F.lit(True)),
     )
     ordered = F.sort_array(F.transform(counted, lambda p: p["intensity"]), asc=False)
-    return F.coalesce(F.get(ordered, F.lit(1)), F.get(ordered, F.lit(0)), F.lit(0.0)) * share
+    return F.coalesce(F.get(ordered, F.lit(1)), F.lit(0.0)) * share
 
 
 def between(peaks: Column, left: float, right: float) -> Column:
@@ -97,19 +98,22 @@ def shifted_concat(*lists: Column) -> Column:
 
 
 def isotope_followers(mz: np.ndarray, intensity: np.ndarray, ppm: float = 20.0, most: int = 3) -> np.ndarray:
-    """Which peaks follow a more intense peak at isotope spacing, for charges 1 to 7; mz ascending."""
+    """Which peaks follow a more intense peak at isotope spacing, for charges 1 to 7; mz ascending.
+
+    Of the peaks within the tolerance (of the first peak's m/z, open below) the most intense is the follower, and a charge's series ends where there is none.
+    """
     flagged = np.zeros(len(mz), dtype=bool)
     for i in range(len(mz)):
         if flagged[i]:
             continue
+        width = mz[i] * ppm * 1e-6
         for z in range(1, 8):
             for k in range(1, most + 1):
                 target = mz[i] + k * ISOTOPE / z
-                lo, hi = np.searchsorted(mz, [target - target * ppm * 1e-6, target + target * ppm * 1e-6])
-                lo = max(lo, i + 1)
-                if lo >= hi or lo == 0:
+                lo, hi = np.searchsorted(mz, [target - width, target + width], side="right")
+                if lo >= hi:
                     break
-                j = lo + int(np.argmin(np.abs(mz[lo:hi] - target)))
+                j = lo + int(np.argmax(intensity[lo:hi]))
                 if intensity[j] < intensity[i]:
                     flagged[j] = True
     return flagged
@@ -130,9 +134,9 @@ def weak_in_window(mz: np.ndarray, intensity: np.ndarray, most: int = 6, width:
 
 
 def local_maximum(mz: np.ndarray, intensity: np.ndarray, width: float) -> np.ndarray:
-    """Which peaks are the greatest within (mz - width, mz + width]; mz ascending."""
+    """Which peaks are the greatest within (mz - width, mz + width], of equal ones the first; mz ascending."""
     lo, hi = np.searchsorted(mz, mz - width, side="right"), np.searchsorted(mz, mz + width, side="right")
-    return np.array([intensity[i] >= intensity[a:b].max() for i, (a, b) in enumerate(zip(lo, hi))], dtype=bool)
+    return np.array([a + int(np.argmax(intensity[a:b])) == i for i, (a, b) in enumerate(zip(lo, hi))], dtype=bool)
 
 
 def preprocess(
@@ -237,13 +241,29 @@ def l2_normalised(vectors: DataFrame, id_col: str = "spec_id") -> DataFrame:
     return vectors.withColumn("__s", total).withColumn("x", F.when(F.col("__s") > 1e-8, F.col("x") / F.sqrt("__s")).otherwise(F.col("x"))).drop("__s")
 
 
+def dense(cells: Column, dims: int = VECTOR_DIMS) -> Column:
+    """An array of ``dims`` numbers of an array of (slot, x); absent slots are 0."""
+
+    @F.pandas_udf("array<float>")
+    def filled(cells: pd.Series) -> pd.Series:
+        out = []
+        for own in cells:
+            v = np.zeros(dims, dtype=np.float32)
+            for c in own:
+                v[c["slot"]] = c["x"]
+            out.append(v)
+        return pd.Series(out)
+
+    return filled(cells)
+
+
 def vector_filter(vectors: DataFrame, chain: str, id_col: str = "spec_id") -> DataFrame:
-    """Applies filters named in ``chain``, joined by ``+``: PeakSquareRoot, PeakToProb, AboveMean, AboveMedian, TopN."""
+    """Applies filters named in ``chain``, joined by ``+``: PeakSquareRoot, PeakToProb, NormalizeByMax (which divides by the sum, as ever), AboveMean, AboveMedian, TopN, Dummy."""
     own = W.partitionBy(id_col)
     for name in chain.split("+"):
         if name == "PeakSquareRoot":
             vectors = vectors.withColumn("x", F.sqrt("x"))
-        elif name == "PeakToProb":
+        elif name in ("PeakToProb", "NormalizeByMax"):
             vectors = vectors.withColumn("x", F.col("x") / F.sum("x").over(own))
         elif name == "AboveMean":  # subtracts the mean
             vectors = vectors.withColumn("x", F.col("x") - F.avg("x").over(own)).where("x > 0")

@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.config import MAX_SCORE
+from ..plans.config import BINS, MAX_SCORE
 
 
 def expanded(queries: DataFrame, tolerance: int, id_col: str = "query_id") -> DataFrame:
-    """(query_id, bin, v): each bin near a query peak with the weight of the heaviest; bin 0 never matches."""
-    near = queries.select(id_col, F.explode(F.sequence(F.col("bin") - tolerance, F.col("bin") + tolerance)).alias("bin"), F.col("w").alias("v"))
+    """(query_id, bin, v): each bin near a query peak with the weight of the heaviest.
+
+    Bin 0 never matches, and nothing above the last bin but one tolerance does: peaks that near the end reach up to there.
+    """
+    last = BINS + 1 - tolerance
+    upto = F.when(F.col("bin") >= last, F.lit(last)).otherwise(F.col("bin") + tolerance)
+    near = queries.select(id_col, F.explode(F.sequence(F.col("bin") - tolerance, upto)).alias("bin"), F.col("w").alias("v"))
     return near.where("bin > 0").groupBy(id_col, "bin").agg(F.max("v").alias("v"))
 
 
@@ -95,31 +100,58 @@ def nearest(scored: DataFrame) -> DataFrame:
 def pair_edges(neighbors: DataFrame, peaks: DataFrame, norms: DataFrame, tolerance: int) -> DataFrame:
     """(query_id, source, target, dp, cosine, dist) of all pairs among each query's neighbours.
 
-    Few neighbours a query, so pairs are few; only their peaks are joined.
+    Few neighbours a query, so pairs are few; only their peaks are joined, as one
+    array a spectrum, and a pair is scored within its row. Nothing is expanded by
+    the tolerance: a pair's exchange carries two arrays of 50 peaks at most.
     """
     a, b = neighbors.select("query_id", F.col("idx").alias("source"), F.col("rank").alias("ra")), neighbors.select("query_id", F.col("idx").alias("target"), F.col("rank").alias("rb"))
     pairs = a.join(b, "query_id").where("ra < rb").select("query_id", "source", "target")
     once = pairs.select("source", "target").distinct()
-    left = expanded(peaks.join(once.select(F.col("source").alias("spec_id")).distinct(), "spec_id", "left_semi").withColumnRenamed("spec_id", "query_id"), tolerance)
-    met = (
-        once.join(left.withColumnRenamed("query_id", "source"), "source")
-        .join(peaks.select(F.col("spec_id").alias("target"), "bin", F.col("w").alias("cw")), ["target", "bin"])
-        .groupBy("source", "target", "v")
-        .agg(F.max("cw").alias("cw"))
-        .groupBy("source", "target")
-        .agg(F.sum(F.col("v") * F.col("cw")).cast("bigint").alias("dp"))
+    ends = neighbors.select(F.col("idx").alias("spec_id")).distinct()
+    lists = peaks.where("bin > 0").join(ends, "spec_id", "left_semi").groupBy("spec_id").agg(F.sort_array(F.collect_list(F.struct("w", "bin")), asc=False).alias("p"))
+    n = lists.join(norms.select("spec_id", "norm2"), "spec_id")
+    met = once.join(n.select(F.col("spec_id").alias("source"), F.col("p").alias("sp"), F.col("norm2").alias("n1")), "source", "left").join(
+        n.select(F.col("spec_id").alias("target"), F.col("p").alias("tp"), F.col("norm2").alias("n2")), "target", "left"
     )
-    n = norms.select("spec_id", "norm2")
-    scored = (
-        once.join(met, ["source", "target"], "left")
-        .withColumn("dp", F.coalesce("dp", F.lit(0)))
-        .join(n.select(F.col("spec_id").alias("source"), F.col("norm2").alias("n1")), "source")
-        .join(n.select(F.col("spec_id").alias("target"), F.col("norm2").alias("n2")), "target")
-    )
-    scored = scored.withColumn("cosine", F.col("dp") / F.sqrt(F.col("n1").cast("double") * F.col("n2"))).withColumn("dist", distance(F.col("cosine")))
+    scored = met.select("source", "target", pair_dp(F.col("sp"), F.col("tp"), tolerance).alias("dp"), "n1", "n2")
+    scored = scored.withColumn("cosine", F.coalesce(F.col("dp") / F.sqrt(F.col("n1").cast("double") * F.col("n2")), F.lit(0.0))).withColumn("dist", distance(F.col("cosine")))
     return pairs.join(scored.drop("n1", "n2"), ["source", "target"])
 
 
+def candidate_dp(pairs: DataFrame, queries: DataFrame, peaks: DataFrame, tolerance: int) -> DataFrame:
+    """(query_id, idx, dp) of given pairs (query_id, idx): both spectra come to the pair as one array each; pairs without a shared peak go."""
+
+    def lists(p: DataFrame, key: str, name: str) -> DataFrame:
+        return p.where("bin > 0").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("w", "bin")), asc=False).alias(name))
+
+    met = pairs.join(lists(queries, "query_id", "sp"), "query_id").join(lists(peaks.withColumnRenamed("spec_id", "idx"), "idx", "tp"), "idx")
+    return met.select("query_id", "idx", pair_dp(F.col("sp"), F.col("tp"), tolerance).alias("dp")).where("dp > 0")
+
+
+def pair_dp(source: Column, target: Column, tolerance: int) -> Column:
+    """The exact score of two arrays of (w, bin), the heaviest first: a column expression.
+
+    A target peak meets the heaviest source peak within the tolerance, and of the
+    target peaks that meet one source peak the heaviest counts.
+    """
+    last = BINS + 1 - tolerance
+
+    def near(p: Column, q: Column) -> Column:
+        return (q["bin"] >= p["bin"] - tolerance) & (q["bin"] <= F.when(p["bin"] >= last, F.lit(last)).otherwise(p["bin"] + tolerance))
+
+    def met(q: Column) -> Column:
+        return F.struct(F.get(F.filter(source, lambda p: near(p, q)), F.lit(0))["w"].alias("v"), q["w"].alias("cw"))
+
+    hits = F.filter(F.transform(target, met), lambda h: h["v"].isNotNull())
+    start = F.struct(F.lit(0).cast("bigint").alias("dp"), F.array().cast("array<int>").alias("used"))
+
+    def step(acc: Column, h: Column) -> Column:
+        fresh = ~F.array_contains(acc["used"], h["v"])
+        return F.when(fresh, F.struct((acc["dp"] + h["v"] * h["cw"]).cast("bigint").alias("dp"), F.array_append(acc["used"], h["v"].cast("int")).alias("used"))).otherwise(acc)
+
+    return F.coalesce(F.aggregate(hits, start, step, lambda acc: acc["dp"]), F.lit(0).cast("bigint"))
+
+
 def union_of_indexes(per_index: DataFrame) -> DataFrame:
     """Candidates of several indexes (query_id, idx, index_no, rank, ...) once each; the first index, then the best rank, wins."""
     order = F.struct("index_no", "rank")

@@ -88,25 +88,54 @@ def p_value_spread(p_values: DataFrame, *keys: str) -> DataFrame:
     return p_values.groupBy(*keys).agg(F.avg("p").alias("p"), F.stddev_pop("p").alias("p_std"))
 
 
+def running(rows: DataFrame, column: str, sums: dict[str, str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """rows with, for each name, the sum of a column over the rows up to and with this one, and name_total over all.
+
+    column: a number that is distinct and not null. Its quantiles, a row of at most
+    ``buckets`` numbers, cut it into ranges; sums of ranges come first, then each
+    range is ordered on its own, so no task has all rows.
+    """
+    steps = [k / buckets for k in range(1, buckets)]
+    found = rows.agg(F.percentile_approx(F.col(column).cast("double"), steps, 4 * buckets)).first()[0] or []
+    cuts = sorted(set(found))
+
+    def place(low: int, high: int) -> Column:
+        """Number of cuts below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) > F.lit(cuts[middle]), place(middle + 1, high)).otherwise(place(low, middle))
+
+    marked = rows.withColumn("__b", place(0, len(cuts)))
+    ranges = marked.groupBy("__b").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])  # at most as many rows as buckets
+    direction = F.col("__b").desc() if descending else F.col("__b")
+    earlier = W.orderBy(direction).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("__b", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}_before") for n in sums], *[F.sum(f"__{n}").over(W.partitionBy()).alias(f"{n}_total") for n in sums])
+    upto = W.partitionBy("__b").orderBy(F.col(column).desc() if descending else F.col(column)).rowsBetween(W.unboundedPreceding, 0)
+    out = marked.join(F.broadcast(ranges), "__b").withColumns({n: F.col(f"__{n}_before") + F.sum(c).over(upto) for n, c in sums.items()})
+    return out.drop("__b", *[f"__{n}_before" for n in sums])
+
+
 def q_values(p_values: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """p_values with i, n and p n / i (Benjamini-Hochberg). Ranks come from counts of distinct values, not from one sorted partition."""
-    counts = p_values.groupBy(p).agg(F.count(F.lit(1)).alias("c"))
-    ordered = counts.withColumn("upto", F.sum("c").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(W.partitionBy()))
+    """p_values with upto, total and bh = p total / upto (Benjamini-Hochberg). Ranks are running counts of distinct values."""
+    counts = p_values.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("c"))
+    ordered = running(counts, p, {"upto": "c"}).withColumnRenamed("upto_total", "total")
     return p_values.join(ordered.select(F.col(p).alias("__p"), "upto", "total"), F.col(p) == F.col("__p")).withColumn("bh", F.col(p) * F.col("total") / F.col("upto")).drop("__p")
 
 
 def bh_threshold(p_values: DataFrame, level: float = 0.01, p: str = "p") -> DataFrame:
     """One row: the greatest p whose Benjamini-Hochberg value is within the level, else 0; and how many pass."""
-    own = q_values(p_values, p, p)
-    limit = own.agg(F.coalesce(F.max(F.when(F.col("bh") <= level, F.col(p))), F.lit(0.0)).alias("threshold"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("bh") <= level, F.col("upto"))).alias("passed"))
+    counts = p_values.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("c"))
+    own = running(counts, p, {"upto": "c"})
+    passes = F.col(p) * F.col("upto_total") / F.col("upto") <= level
+    limit = own.agg(F.coalesce(F.max(F.when(passes, F.col(p))), F.lit(0.0)).alias("threshold"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max(F.when(passes, F.col("upto"))).alias("passed"))
     return limit.select("threshold", "n", F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
 def target_decoy_curve(scores: DataFrame, score: str = "score", decoy: str = "is_decoy") -> DataFrame:
     """(score, targets, decoys, fdr) at each score: how many are at or above it; one row a distinct score."""
     by = scores.groupBy(score).agg(F.sum(F.when(F.col(decoy) == 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col(decoy) != 0, 1).otherwise(0)).alias("d"))
-    down = W.orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
-    out = by.withColumn("targets", F.sum("t").over(down)).withColumn("decoys", F.sum("d").over(down))
+    out = running(by.where(F.col(score).isNotNull()), score, {"targets": "t", "decoys": "d"}, descending=True)
     return out.select(score, "targets", "decoys", (F.col("decoys") / F.greatest(F.col("targets"), F.lit(1))).alias("fdr"))
 
 
@@ -142,13 +171,14 @@ def charge_length_summary(annotations: DataFrame, charge: str = "charge", peptid
 
 
 def agreement(first: DataFrame, second: DataFrame, key: str = "spec_id", peptide: str = "peptide") -> DataFrame:
-    """One row of counts: found by both with one peptide (I and L alike), by both with two, by either alone."""
+    """One row: found by both with one peptide (I and L alike), by both with two, by either alone; recall, the share of the second's that the first has alike."""
     a = first.select(key, F.translate(peptide, "I", "L").alias("p1"))
     b = second.select(key, F.translate(peptide, "I", "L").alias("p2"))
     j = a.join(b, key, "full")
     return j.agg(
         F.count_if(F.col("p1") == F.col("p2")).alias("same"), F.count_if(F.col("p1") != F.col("p2")).alias("different"),
         F.count_if(F.col("p1").isNotNull() & F.col("p2").isNull()).alias("only_first"), F.count_if(F.col("p1").isNull() & F.col("p2").isNotNull()).alias("only_second"),
+        F.try_divide(F.count_if(F.col("p1") == F.col("p2")), F.count("p2")).alias("recall"),
     )
 
 
@@ -158,6 +188,19 @@ def first_match_rank(neighbors: DataFrame, truth: DataFrame) -> DataFrame:
     return j.where(F.translate("peptide", "I", "L") == F.col("t")).groupBy("query_id").agg(F.min("rank").alias("rank"))
 
 
+def rank_recall(ranks: DataFrame, truth: DataFrame, most: int = 1) -> DataFrame:
+    """One row: how many of truth (query_id, ...) have a first match (query_id, rank), how many at rank ``most`` or before, and both shares."""
+    j = truth.select("query_id").distinct().join(ranks.select("query_id", "rank"), "query_id", "left")
+    n, found, early = F.count(F.lit(1)), F.count("rank"), F.count_if(F.col("rank") <= most)
+    return j.agg(n.alias("n"), found.alias("found"), early.alias("early"), F.try_divide(found, n).alias("recall"), F.try_divide(early, n).alias("early_recall"))
+
+
+def generalised_mean(values: DataFrame, column: str, power: float) -> DataFrame:
+    """One row: (mean of x ** power) ** (1 / power); power 0 is the geometric mean."""
+    x = F.col(column).cast("double")
+    return values.agg((F.exp(F.avg(F.log(x))) if power == 0 else F.pow(F.avg(F.pow(x, F.lit(float(power)))), F.lit(1.0 / power))).alias("mean"))
+
+
 def means(values: DataFrame, column: str) -> DataFrame:
     """One row of averages; zeros are put right to the least positive value over n for the geometric and harmonic ones."""
     x = F.col(column).cast("double")

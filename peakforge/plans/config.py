@@ -15,6 +15,8 @@ PROTON = 1.007276
 ISOTOPE = 1.0032
 VECTOR_BINS = 4003
 VECTOR_WIDTH = 0.5
+#: Vectors are filled up to a number of dimensions that the indexes' subspaces divide.
+VECTOR_DIMS = 4096
 MAX_TOPN = 1000
 NO_MODEL = 10000.0
 
@@ -99,3 +101,50 @@ def merged(config, *sources: dict):
 class Profile:
     archive: ArchiveConfig = field(default_factory=ArchiveConfig)
     search: SearchConfig = field(default_factory=SearchConfig)
+
+
+@dataclass(frozen=True)
+class Request:
+    """Parameters of a search request, typed and within bounds."""
+
+    topn: int = 10
+    query_id: int | None = None
+    edge: bool = False
+    nprobe: int = 8
+    spec: str | None = None
+    visualization: bool = False
+    remarks: str | None = None
+    min_tnn_dp: float = 0.6
+    tnn_topk: int = 10
+    tnn_indexes: int | None = None
+    recall_true_neighbors: bool = False
+
+    def search(self) -> SearchConfig:
+        return SearchConfig(topn=self.topn, nprobe=self.nprobe, true_topk=self.tnn_topk, true_min_dp=self.min_tnn_dp)
+
+
+#: Request names, the fields that they fill, and how values are read.
+REQUEST_FIELDS = {
+    "TOPN": ("topn", int), "QUERYID": ("query_id", int), "EDGE": ("edge", lambda x: x not in ("", "0", "false")), "NPROBE": ("nprobe", int), "SPEC": ("spec", str),
+    "VISUALIZATION": ("visualization", lambda x: x not in ("", "0", "false")), "SPECREMARKS": ("remarks", str), "MINTNNDP": ("min_tnn_dp", float), "TNNTOPK": ("tnn_topk", int),
+    "TNNINDEXNUM": ("tnn_indexes", int), "RECALLTRUENEIGHBOR": ("recall_true_neighbors", lambda x: x not in ("", "0", "false")),
+}
+
+
+def request(values: dict[str, str]) -> Request:
+    """A Request of named texts: unknown names are ignored, values that cannot be read or lie out of bounds give the default."""
+    out: dict = {}
+    for name, value in values.items():
+        if name.upper() in REQUEST_FIELDS:
+            key, read = REQUEST_FIELDS[name.upper()]
+            try:
+                out[key] = read(value)
+            except ValueError:
+                continue
+    if not 1 <= out.get("topn", 10) <= MAX_TOPN:
+        del out["topn"]
+    if not 1 <= out.get("tnn_topk", 10) <= MAX_TOPN:
+        del out["tnn_topk"]
+    if "nprobe" in out:
+        out["nprobe"] = valid_nprobe(out["nprobe"])
+    return Request(**out)

@@ -32,24 +32,27 @@ def _peaks(body: Column, pattern: str) -> Column:
     return F.zip_with(mz, intensity, lambda m, i: F.struct(m.cast("double").alias("mz"), i.cast("double").alias("intensity")))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Adds idx, the ordinal of a record in its file by where it begins."""
-    return df.withColumn("idx", (F.row_number().over(W.partitionBy("file").orderBy("__at")) - 1).cast("bigint"))
+def _in_order(spark: SparkSession, path: str, separator: str, wanted) -> DataFrame:
+    """(file, value, idx): the wanted records of text files and their ordinals in their file.
 
-
-def _in_order(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(file, value, __at): records of text files, in the order of the files' blocks."""
+    A block of a file is read whole by one task, in order, so a record's ordinal
+    is its place in the block and the count of records in the file's earlier
+    blocks. Only these counts are dealt out, the records stay where they are read.
+    """
     rows = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
-    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block")).withColumn(
-        "__at", F.struct("__block", F.monotonically_increasing_id().alias("id"))
-    )
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = rows.where(wanted(F.col("value"))).withColumn("__id", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
+    earlier = W.partitionBy("file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return rows.join(blocks, ["file", "__block"]).select("file", "value", (F.col("__before") + F.col("__id") - F.col("__first")).alias("idx"))
 
 
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """Spectra of MGF files; a scan is the second of four or more dotted parts of the title, else the ordinal from 1."""
-    rows = _in_order(spark, path, "END IONS").where(F.col("value").contains("BEGIN IONS"))
+    rows = _in_order(spark, path, "END IONS", lambda v: v.contains("BEGIN IONS"))
     body = F.regexp_replace(F.col("value"), r"(?m)^#.*$", "")
-    rows = _numbered(rows.withColumn("body", F.regexp_extract(body, r"(?s)BEGIN IONS(.*)", 1)))
+    rows = rows.withColumn("body", F.regexp_extract(body, r"(?s)BEGIN IONS(.*)", 1))
     get = lambda k, p: F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^{k}=({p})", 1)), F.lit(""))
     title = F.coalesce(get("TITLE", r"[^\r\n]*"), F.lit(""))
     parts = F.split(title, r"\.")
@@ -64,9 +67,8 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sptxt(spark: SparkSession, path: str) -> DataFrame:
     """Entries of spectral libraries; a scan is LibID + 1."""
-    rows = _in_order(spark, path, "\n\n")
-    rows = rows.withColumn("value", F.regexp_replace("value", r"(?m)^###.*\n?", "")).where(F.col("value").rlike(r"(?m)^Name: "))
-    rows = _numbered(rows)
+    rows = _in_order(spark, path, "\n\n", lambda v: F.regexp_replace(v, r"(?m)^###.*\n?", "").rlike(r"(?m)^Name: "))
+    rows = rows.withColumn("value", F.regexp_replace("value", r"(?m)^###.*\n?", ""))
     get = lambda k, p: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{k}: *({p})", 1)), F.lit(""))
     comment = F.coalesce(get("Comment", r"[^\r\n]*"), F.lit(""))
     word = lambda k: F.nullif(F.regexp_extract(comment, rf"(?:^| ){k}=(\"[^\"]*\"|[^ ]*)", 1), F.lit(""))
@@ -246,3 +248,8 @@ def parse_request(body: str) -> dict[str, str]:
     return {k.upper(): v.strip() for k, v in re.findall(r"([A-Za-z]+)=([^;&\r\n]*)", body)}
 
 
+def request_of(body: str):
+    """The typed parameters of a request body."""
+    from ..plans.config import request
+
+    return request(parse_request(body))

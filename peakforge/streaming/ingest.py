@@ -11,7 +11,8 @@ from ..sources.spectra import SPECTRA
 def follow(spark: SparkSession, archive: Archive, folder: str, checkpoint: str, once: bool = True):
     """Adds every new Parquet file of spectra rows in the folder to the archive; a batch is added whole.
 
-    A file that a failed batch had added is known by its name, so a replay adds nothing twice.
+    A batch is one commit of the archive: a failed one left nothing, and of one that was committed all files are known
+    by their names, so a replay adds nothing twice.
     """
 
     def add(batch: DataFrame, _: int) -> None:
