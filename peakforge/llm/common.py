@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -90,6 +91,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """Bounds the bytes of the Arrow batches of what is run meanwhile: rows of whole shingle sets can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def utf8(column):
     """The bytes of an Arrow text column, and where each row's bytes start (one more entry at the end); nulls are empty."""
     import numpy as np

@@ -17,8 +17,9 @@ more by a prefix filter: shingles are put in one order, those of a single class
 first, then the rarer before the commoner, and two sets as alike as asked share
 one of the first ``(1 - similarity) * size + 1``. Documents with a class's own
 shingles in front thus meet nobody, however many share a passage. Those that do
-meet are compared whole in blocks of a bounded number of documents and shingles,
-and a block gives back no more links than join its classes. No pairs within a
+meet are led once more, which settles two of a kind; where three or more still are
+of several classes, they are compared whole in blocks of a bounded number of
+documents and shingles, and a block gives back no more links than join its classes. No pairs within a
 group are formed as rows, and a bucket of one class, however large, costs as many
 pairs as members.
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, read, slices, staged, utf8
+from .common import discard, read, slices, small_batches, staged, utf8
 from .shingles import MASK, mix, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -280,17 +281,20 @@ def with_classes(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.withColumn("class", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
 
 
-def block_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float, kept=staged) -> DataFrame:
-    """Links (a, b, similarity) between the classes of buckets that hold several; groups of the same members are taken once. kept: stages a table."""
+def crowded(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(id, class) of the documents of buckets that hold several classes; of two members the leader was one."""
     placed = with_classes(buckets, labels)
     mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    # of two members the leader was one
-    crowd = placed.join(mixed.where("n > 2 and low <> high").select("band"), "band").select("id", "class").distinct()
-    keyed = kept(prefixes(kept(crowd, "crowd"), sets, similarity, kept), "prefixes")
+    return placed.join(mixed.where("n > 2 and low <> high").select("band"), "band").select("id", "class").distinct()
+
+
+def block_links(keyed: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float, kept=staged) -> DataFrame:
+    """Links (a, b, similarity) between the classes of groups (key, id, size) of three or more that hold several; groups of the same members are taken once."""
+    keyed = with_classes(keyed.select("key", "id", "size"), labels)
     several = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.shiftright(F.xxhash64("id"), 8)).alias("s1"), F.bit_xor(F.xxhash64("id")).alias("s2"),
     )
-    once = several.where("low <> high").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    once = several.where("n > 2 and low <> high").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.max("total").alias("total"))
     once = once.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     each = keyed.join(kept(once, "groups"), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -345,31 +349,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = members.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     reps = members.where("id = rep").select("id")
     keyed = some.join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band")).distinct()
-    crowded = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = kept(keyed.join(crowded, "band"), "buckets")
+    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    buckets = kept(keyed.join(shared, "band"), "buckets")
     involved = buckets.select("id").distinct()
     sets = kept(shingle_sets(plain.join(involved, "id", "left_semi")).groupBy("id").agg(F.max("members").alias("members")), "sets")
     links = kept(same_id.withColumn("similarity", F.lit(1.0)), "same")
     tried, labels = None, None
-    for k in range(rounds):
-        placed = with_classes(buckets, labels)
-        lead = placed.groupBy("band").agg(
-            F.min_by(F.struct("id", "class"), F.xxhash64(F.lit(k), "id") if k else F.col("id")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")
+
+    def led(groups: DataFrame, key: str, salt: int) -> bool:
+        """Links members of groups (key, id) to a leader where they hold several classes, once a pair; whether there was anything to try."""
+        nonlocal links, tried, labels
+        placed = with_classes(groups.select(key, "id"), labels)
+        lead = placed.groupBy(key).agg(
+            F.min_by(F.struct("id", "class"), F.xxhash64(F.lit(salt), "id") if salt else F.col("id")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")
         )
-        lead = lead.where("low <> high").select("band", F.col("lead.id").alias("leader"), F.col("lead.class").alias("leader_class"))
-        pairs = placed.join(lead, "band").where("class <> leader_class").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        lead = lead.where("low <> high").select(key, F.col("lead.id").alias("leader"), F.col("lead.class").alias("leader_class"))
+        pairs = placed.join(lead, key).where("class <> leader_class").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = kept(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
-            break
-        new = kept(checked(pairs, sets, similarity), "checked")
+            return False
+        with small_batches(pairs.sparkSession):
+            new = kept(checked(pairs, sets, similarity), "checked")
         links = links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if new.limit(1).count():
             labels = classes_of(links)
             done.append(labels)
-    rest = kept(block_links(buckets, labels, sets, similarity, kept), "rest")
-    if labels is None or rest.limit(1).count():
-        labels = classes_of(links.unionByName(rest))
+        return True
+
+    for k in range(rounds):
+        if not led(buckets, "band", k):
+            break
+    crowd = kept(crowded(buckets, labels), "crowd")
+    if crowd.limit(1).count():
+        with small_batches(docs.sparkSession):
+            keyed = kept(prefixes(crowd, sets, similarity, kept), "prefixes")
+        # most groups are of two, whom a leader settles
+        led(keyed, "key", rounds)
+        with small_batches(docs.sparkSession):
+            rest = kept(block_links(keyed, labels, sets, similarity, kept), "rest")
+        if rest.limit(1).count():
+            links = links.unionByName(rest)
+            labels = classes_of(links)
+            done.append(labels)
+    if labels is None:
+        labels = classes_of(links)
         done.append(labels)
     of_id = (
         members.select("id", "rep")
