@@ -91,7 +91,11 @@ def sum_normalised(peaks: Column) -> Column:
 
 def shifted_concat(*lists: Column) -> Column:
     """Peak lists one after another, the k-th moved up by 2000 k."""
-    return F.concat(*[F.transform(x, lambda p, k=k: F.struct((p["mz"] + MAX_MZ * k).alias("mz"), p["intensity"])) for k, x in enumerate(lists)])
+
+    def moved(x: Column, by: float) -> Column:
+        return F.transform(x, lambda p: F.struct((p["mz"] + by).alias("mz"), p["intensity"].alias("intensity")))
+
+    return F.concat(*[moved(x, MAX_MZ * k) for k, x in enumerate(lists)])
 
 
 # --- rules that visit peaks in order ---------------------------------------------------

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import meet
+
 
 def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, x, y) of slots that both have; equality join by slot."""
-    return left.select(F.col("spec_id").alias("a"), "slot", "x").join(right.select(F.col("spec_id").alias("b"), "slot", F.col("x").alias("y")), "slot")
+    return meet(left.select(F.col("spec_id").alias("a"), "slot", "x"), right.select(F.col("spec_id").alias("b"), "slot", F.col("x").alias("y")), "slot", "b")
 
 
 def _totals(vectors: DataFrame, *aggregates) -> DataFrame:
@@ -88,10 +90,10 @@ def random_projection(vectors: DataFrame, width: int, seed: int = 1) -> DataFram
 
 
 def scan_deviation(peaks: DataFrame, tolerance: float) -> DataFrame:
-    """(n, mean, std) of m/z differences to the nearest peak of the next scan. peaks: (scan_no, mz), scan_no dense."""
+    """(n, mean, std) of m/z differences to the nearest peak of the next scan, of two the lower. peaks: (scan_no, mz), scan_no dense."""
     bucket = F.floor(F.col("mz") / tolerance)
     a = peaks.select("scan_no", "mz", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
     b = peaks.select((F.col("scan_no") - 1).alias("scan_no"), F.col("mz").alias("next"), bucket.alias("k"))
     diff = F.col("next") - F.col("mz")
-    near = a.join(b, ["scan_no", "k"]).where(F.abs(diff) <= tolerance).groupBy("scan_no", "mz").agg(F.min_by(diff, F.abs(diff)).alias("d"))
+    near = a.join(b, ["scan_no", "k"]).where(F.abs(diff) <= tolerance).groupBy("scan_no", "mz").agg(F.min_by(diff, F.struct(F.abs(diff), diff)).alias("d"))
     return near.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"))

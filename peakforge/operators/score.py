@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.config import BINS, MAX_SCORE
+from .joins import meet
 
 
 def expanded(queries: DataFrame, tolerance: int, id_col: str = "query_id") -> DataFrame:
@@ -30,14 +31,13 @@ def expanded(queries: DataFrame, tolerance: int, id_col: str = "query_id") -> Da
 
 def hits(queries: DataFrame, candidates: DataFrame, tolerance: int) -> DataFrame:
     """(query_id, idx, v, cw) of peaks that meet. queries: (query_id, bin, w), candidates: (idx, bin, w)."""
-    return expanded(queries, tolerance).join(candidates.where("bin > 0").select("idx", "bin", F.col("w").alias("cw")), "bin").select("query_id", "idx", "v", "cw")
+    own = candidates.where("bin > 0").select("idx", "bin", F.col("w").alias("cw"))
+    return meet(expanded(queries, tolerance), own, "bin", "idx").select("query_id", "idx", "v", "cw")
 
 
 def exact_dp(queries: DataFrame, candidates: DataFrame, tolerance: int) -> DataFrame:
     """(query_id, idx, dp) of pairs that share a peak."""
-    # dealt once by the pair, which serves both aggregations
-    met = hits(queries, candidates, tolerance).repartition("query_id", "idx")
-    best = met.groupBy("query_id", "idx", "v").agg(F.max("cw").alias("cw"))
+    best = hits(queries, candidates, tolerance).groupBy("query_id", "idx", "v").agg(F.max("cw").alias("cw"))
     return best.groupBy("query_id", "idx").agg(F.sum(F.col("v") * F.col("cw")).cast("bigint").alias("dp"))
 
 
@@ -46,6 +46,12 @@ def background_dp(queries: DataFrame, candidates: DataFrame, tolerance: int) ->
     return hits(queries, candidates, tolerance).groupBy("query_id", "idx").agg(F.sum(F.col("v") * F.col("cw")).cast("bigint").alias("dp"))
 
 
+def both_dps(queries: DataFrame, candidates: DataFrame, tolerance: int) -> DataFrame:
+    """(query_id, idx, dp, background): the exact and the background score from one join."""
+    by = hits(queries, candidates, tolerance).groupBy("query_id", "idx", "v").agg(F.max("cw").alias("cw"), F.sum("cw").alias("all"))
+    return by.groupBy("query_id", "idx").agg(F.sum(F.col("v") * F.col("cw")).cast("bigint").alias("dp"), F.sum(F.col("v") * F.col("all")).cast("bigint").alias("background"))
+
+
 def distance(cosine: Column) -> Column:
     gap = 1 - F.least(cosine, F.lit(1.0))
     return F.when(gap < 1e-8, F.lit(0.0)).otherwise(F.sqrt(F.lit(2.0)) * F.sqrt(gap))
@@ -169,10 +175,24 @@ def recall_at(found: DataFrame, truth: DataFrame) -> DataFrame:
     return by_rank.withColumn("cumulative_found", F.sum("found").over(upto)).withColumn("cumulative_total", F.sum("total").over(upto))
 
 
+def unmatched(query: DataFrame, candidates: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(query peaks a pair, candidate peaks) without those that meet: peaks of one pair within the tolerance, which are dealt by buckets of it.
+
+    query: (query_id, mz, w), candidates: (query_id, idx, mz, w); the first result has idx too.
+    """
+    pairs = candidates.select("query_id", "idx").distinct()
+    own = query.join(pairs, "query_id")
+    bucket = F.floor(F.col("mz") / tolerance)
+    near = own.select("query_id", "idx", F.col("mz").alias("qm"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
+    met = near.join(candidates.select("query_id", "idx", "mz", bucket.alias("k")), ["query_id", "idx", "k"]).where(F.abs(F.col("qm") - F.col("mz")) <= tolerance)
+    left = own.join(met.select("query_id", "idx", F.col("qm").alias("mz")).distinct(), ["query_id", "idx", "mz"], "left_anti")
+    return left, candidates.join(met.select("query_id", "idx", "mz").distinct(), ["query_id", "idx", "mz"], "left_anti")
+
+
 def delta_mass(query: DataFrame, candidates: DataFrame, width: float = 0.05, least: float = 3000, count: int = 2) -> DataFrame:
-    """(query_id, idx, delta, n, weight): groups of differences of unmatched peaks within ``width``, frequent and heavy enough."""
+    """(query_id, idx, delta, n, weight): groups of differences of peaks within ``width``, frequent and heavy enough; see unmatched for the peaks to give."""
     pairs = query.select("query_id", F.col("mz").alias("qm"), F.col("w").alias("qw")).join(candidates.select("query_id", "idx", "mz", "w"), "query_id")
     diff = pairs.select("query_id", "idx", (F.col("mz") - F.col("qm")).alias("delta"), (F.col("w") * F.col("qw")).alias("ww"))
-    ahead = W.partitionBy("query_id", "idx").orderBy("delta").rangeBetween(0, width)
-    out = diff.withColumn("n", F.count(F.lit(1)).over(ahead)).withColumn("weight", F.sum("ww").over(ahead))
+    ahead = f"over (partition by query_id, idx order by delta range between current row and {float(width)!r}D following)"
+    out = diff.withColumn("n", F.expr(f"count(1) {ahead}")).withColumn("weight", F.expr(f"sum(ww) {ahead}"))
     return out.where((F.col("n") > count) & (F.col("weight") > least)).drop("ww")

@@ -280,10 +280,10 @@ def _distributed_steps(rows: DataFrame, views, starts: list[np.ndarray], steps:
     """
     sc, at, last = rows.sparkSession.sparkContext, [c.copy() for c in starts], np.inf
     for _ in range(steps):
-        shared = sc.broadcast((views, at))
+        shared = sc.broadcast(at)
 
-        def run(batches):
-            views, at = shared.value
+        def run(batches, shared=shared):
+            at = shared.value
             sums, counts, error = [np.zeros_like(c) for c in at], [np.zeros(len(c)) for c in at], 0.0
             for pdf in batches:
                 if len(pdf):

@@ -122,7 +122,10 @@ def _scored(spark, d) -> DataFrame:
 
 
 def _neighbors(spark, d, n: int = 10) -> DataFrame:
-    return score.top_n(_scored(spark, d).where("n_peaks > 6"), n)
+    p = P.peaks(spark, d)
+    norms, qn, cn = _norms(p)
+    pairs = score.exact_dp(P.queries_of(p), score.enough_peaks(P.candidates_of(p), norms, 6), P.TOLERANCE)
+    return score.top_n(score.with_cosine(pairs, qn, cn), n)
 
 
 def _background(spark, d) -> DataFrame:
@@ -138,10 +141,16 @@ def _points(spark, d) -> DataFrame:
 
 
 def _p_values(spark, d) -> DataFrame:
-    pts = _points(spark, d)
+    p = P.peaks(spark, d)
+    norms, qn, cn = _norms(p)
+    # one join gives the exact and the background score of each pair
+    both = score.both_dps(P.queries_of(p), P.candidates_of(p), P.TOLERANCE)
+    near = score.with_cosine(score.enough_peaks(both, norms, 6), qn, cn)
+    bg = score.with_cosine(both.select("query_id", "idx", F.col("background").alias("dp")), qn, cn).select("query_id", score.integer_score(F.col("cosine")).alias("score"))
+    pts = stats.tail_points(stats.survival(stats.histogram(bg)))
     model = stats.tail_model(pts).select("query_id", "k", "b")
     total = pts.groupBy("query_id").agg(F.max("total").alias("total"))
-    j = _neighbors(spark, d).join(model, "query_id", "left").join(total, "query_id", "left")
+    j = score.top_n(near, 10).join(model, "query_id", "left").join(total, "query_id", "left")
     return j.select("query_id", "idx", "rank", stats.p_value(42925 * F.col("cosine"), F.col("k"), F.col("b"), F.col("total")).alias("p"))
 
 
@@ -272,9 +281,10 @@ def tophit_pvalue(spark, d):
 )
 def bh_threshold(spark, d):
     c = P.table(spark, d, "customer").groupBy("c_acctbal").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.coalesce(F.sum("c").over(W.orderBy("c_acctbal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    p = c.select((upto * upto).cast("double").alias("a"), "c", F.sum("c").over(W.partitionBy()).alias("n"))
-    rows = p.select((F.col("a") / (F.col("n") * F.col("n")).cast("double")).alias("p"), F.explode(F.sequence(F.lit(1), F.col("c"))).alias("i"))
+    own = stats.running(c, "c_acctbal", {"upto": "c"})
+    least = F.col("upto") - F.col("c") + 1
+    p = (least * least).cast("double") / (F.col("upto_total") * F.col("upto_total")).cast("double")
+    rows = own.select(p.alias("p"), F.explode(F.sequence(F.lit(1), F.col("c"))).alias("i"))
     return stats.bh_threshold(rows.select("p"))
 
 
@@ -296,13 +306,13 @@ def _second(spark, d) -> DataFrame:
 
 @query(
     "select count(*) filter (where p1 = p2)::bigint same, count(*) filter (where p1 <> p2)::bigint different, count(*) filter (where p1 is not null and p2 is null)::bigint only_first, "
-    "count(*) filter (where p1 is null and p2 is not null)::bigint only_second from (select id spec_id, replace(peptide, 'I', 'L') p1 from gt where significance = 1) full join "
+    "count(*) filter (where p1 is null and p2 is not null)::bigint only_second, round(count(*) filter (where p1 = p2) / nullif(count(p2), 0)::double, 6) recall from (select id spec_id, replace(peptide, 'I', 'L') p1 from gt where significance = 1) full join "
     "(select spec_id, replace(case when pr = '1-URGENT' then c_mktsegment else pr end, 'I', 'L') p2 from (select o_custkey spec_id, min(o_orderpriority) pr from orders group by 1) join customer on c_custkey = spec_id) using (spec_id)",
     "gt",
 )
 def venn_counts(spark, d):
     first = P.ground_truth(spark, d).where("significance = 1").select(F.col("id").alias("spec_id"), "peptide")
-    return stats.agreement(first, _second(spark, d))
+    return stats.agreement(first, _second(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
 @query(
@@ -357,12 +367,23 @@ def search_peptide(spark, d):
     return out.select("id", "file_id", "peptide", "scan", "score", "filename")
 
 
-@query("select id, file_id, scan, filename from gt join sf using (file_id) where scan between 10 and 400 and filename like '%NATION_1%' and file_id in (select file_id from sf where filename like '%NATION_1%' order by 1 limit 10) order by file_id, id limit 100", "gt", "sf")
+DENSE = (
+    "g as (select start + row_number() over (partition by file_id order by id) - 1 id, file_id, scan, filename, start, \"end\" from gt join sf using (file_id)), "
+    "f as (select file_id from sf where filename like '%NATION_1%' order by 1 limit 10) "
+)
+
+
+@query(None)
 def search_file_scan(spark, d):
     files = annotation.file_ranges(P.spec_files(spark, d))
-    # ids of the proxies are not dense within files, so scans are matched by file alone
-    wide = files.withColumn("start", F.lit(0)).withColumn("end", F.lit(1 << 60))
-    return annotation.search_scan(P.ground_truth(spark, d), wide, "NATION_1", 10, 400).select("id", "file_id", "scan", "filename")
+    # ids as an archive gives them: dense within files, in the order of files
+    place = F.row_number().over(W.partitionBy("file_id").orderBy("id")) - 1
+    g = P.ground_truth(spark, d).withColumn("__p", place).join(files.select("file_id", F.col("start").alias("__s")), "file_id").withColumn("id", F.col("__s") + F.col("__p")).drop("__p", "__s")
+    wrong = g.where("id % 11 = 0").withColumn("id", F.col("id") + (1 << 40))  # beyond any file's range
+    return annotation.search_scan(g.where("id % 11 <> 0").unionByName(wrong), files, "NATION_1", 10, 400).select("id", "file_id", "scan", "filename")
+
+
+SQL["search_file_scan"] = sql("", "gt", "sf").rstrip() + ", " + DENSE + "select id, file_id, scan, filename from g where id % 11 <> 0 and scan between 10 and 400 and file_id in (select file_id from f) order by file_id, id limit 100"
 
 
 @query("select peptide, coalesce(known, false) known from (select distinct peptide from gt) left join (select distinct peptide, true known from gt where significance = 1 and file_id not in (0, 1, 2)) using (peptide)", "gt")
@@ -403,13 +424,6 @@ def blocklist_ce(spark, d):
     return annotation.block_list_energy(g.withColumn("ce", F.regexp_replace("ce", " eV$", "eV")))
 
 
-@query("select id idx from gt join sf using (file_id) where filename like '%NATION_2%' or filename like '%NATION_7.%'", "gt", "sf")
-def blocklist_file(spark, d):
-    g, files = P.ground_truth(spark, d), P.spec_files(spark, d)
-    named = files.where(F.col("filename").contains("NATION_2") | F.col("filename").contains("NATION_7.")).select("file_id")
-    return g.join(named, "file_id", "left_semi").select(F.col("id").alias("idx"))
-
-
 @query("select id, case when charge = 1 then round(111.0 * length(peptide) / (score + 2000))::int else charge end charge from gt", "gt")
 def charge_repair(spark, d):
     g = P.ground_truth(spark, d)
@@ -417,11 +431,6 @@ def charge_repair(spark, d):
     return g.select("id", scalar.repaired_charge(zero, F.col("peptide"), F.col("score") + 2000).alias("charge"))
 
 
-@query("select replace(p_type, 'I', 'L') peptide, count(*)::bigint n from part group by 1")
-def peptide_il_equal(spark, d):
-    return P.table(spark, d, "part").groupBy(F.translate("p_type", "I", "L").alias("peptide")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(None)
 def theoretical_ions(spark, d):
     peptides = P.table(spark, d, "nation").select(F.col("n_nationkey").alias("spec_id"), F.regexp_replace("n_name", "[^GASPVTCLINDQKEMHFRYW]", "").alias("peptide"), F.lit(2).alias("charge"))
@@ -561,5 +570,5 @@ def mzrt_pixels(spark, d):
 
 
 @query("select scan, rt from pt where (scan + 32 - 5) % 32 = 0", "pt")
-def swath_cycle(spark, d):
+def swath_window(spark, d):
     return timeseries.swath(P.points(spark, d), 5, 32).select("scan", "rt")

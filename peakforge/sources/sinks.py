@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,14 +20,40 @@ def write_store(df: DataFrame, path: str, mode: str = "append", partition_by: st
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-def write_compact(encoded: DataFrame, path: str, bins: str = "bins") -> None:
-    """One file of 50 16-bit numbers a spectrum, in the order of spec_id, streamed by partition through the driver's file."""
-    rows = encoded.orderBy("spec_id").select(bins)
-    with open(path, "wb") as f:
-        for r in rows.toLocalIterator():
-            x = np.zeros(MAX_PEAKS, dtype="<u2")
-            x[: min(MAX_PEAKS, len(r[0]))] = r[0][:MAX_PEAKS]
-            f.write(x.tobytes())
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of our own on one machine, an error on a cluster."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def write_compact(encoded: DataFrame, path: str, bins: str = "bins", rows: int = 10_000) -> None:
+    """One file of 50 16-bit numbers a spectrum, in the order of spec_id.
+
+    Records are made where the peaks are, and go to the file, on whatever file
+    system the path names, a partition at a time: the format is one file.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            x = np.zeros((len(pdf), MAX_PEAKS), dtype="<u2")
+            for k, own in enumerate(pdf[bins]):
+                x[k, : min(MAX_PEAKS, len(own))] = own[:MAX_PEAKS]
+            for at in range(0, len(x), rows):
+                yield pd.DataFrame({"data": [x[at : at + rows].tobytes()]})
+
+    spark = encoded.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for r in encoded.orderBy("spec_id").select(bins).mapInPandas(run, "data binary").toLocalIterator():
+            out.write(bytearray(r[0]))
+    finally:
+        out.close()
 
 
 def batch_report(neighbors: DataFrame, annotations: DataFrame, only_significant: bool = True) -> DataFrame:

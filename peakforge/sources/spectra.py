@@ -2,8 +2,8 @@
 
 All give rows (file, scan, idx, ms_level, rt, precursor_mz, charge, name, protein,
 ce, peaks), peaks an array of (mz, intensity). Text formats are split by their
-record separator and XML ones by their row tag, so one large file is read by many
-tasks.
+record separator, so one large file is read by many tasks; an XML file is read by
+one.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import pytest
 
 from peakforge import queries as q
+from peakforge import queries_more  # noqa: F401
 
 
 def rows(found, columns):
