@@ -91,16 +91,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Bytes of an Arrow batch. The memory that batches are built in lies beside the heap and is seldom given back.
+BATCH_BYTES = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20):
-    """Bounds the bytes of the Arrow batches of what is run meanwhile: rows of whole shingle sets can be long."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Bounds the bytes of the Arrow batches of what is run meanwhile."""
+    old = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        spark.conf.set(ARROW_BYTES, old)
 
 
 def utf8(column):

@@ -25,12 +25,14 @@ are judged one by one; only id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import bounded_broadcast, read, slices, staged, utf8
+from .common import bounded_broadcast, read, slices, small_batches, staged, utf8
 from .licenses import WORD
 from .shingles import word_hashes
 
@@ -46,6 +48,8 @@ COMMON, RARE_KEPT = 0.1, 8
 COSINE, MASS, WHOLE = 0.25, 0.4, 0.99
 LCS, ANSWER = 0.65, 0.5
 SEPARATORS = ~WORD
+HITS = "array<struct<item:bigint,share:double>>"
+KIND = pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +67,13 @@ def places(words: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """(number of documents that hold each term, number of documents), over all of docs (id, text)."""
+    """(number of documents that hold each term, number of documents), over all of docs (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        import pyarrow as pa
-
         counts, n = np.zeros(len(shared.value), dtype=np.int64), 0
-        for batch in slices(batches):
-            words, of_text = tokens(batch.column(1))
+        for batch in slices(batches, column=0):
+            words, of_text = tokens(batch.column(0))
             at = places(words, shared.value)
             owner = np.repeat(np.arange(len(of_text)), of_text)[at >= 0]
             once = np.unique(owner * len(counts) + at[at >= 0])
@@ -80,7 +82,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], n))], names=["term", "n"])
 
-    rows = docs.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    with small_batches(docs.sparkSession):
+        rows = docs.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     shared.destroy()
     out, total = np.zeros(len(terms), dtype=np.int64), 0
     for t, n in zip(rows["term"], rows["n"]):
@@ -115,8 +118,6 @@ def latent_space(spark, items: list[np.ndarray], idf: np.ndarray, rank: int) ->
         factor = sc.broadcast(x.astype(np.float32))
 
         def run(batches):
-            import pyarrow as pa
-
             idf, right = fixed.value, factor.value
             out = np.zeros(right.shape, dtype=np.float32)
             for batch in batches:
@@ -189,11 +190,12 @@ def passages_of(known: np.ndarray, cell: np.ndarray, n: int, products: np.ndarra
         sums, mass, size = both, weight, size * 2
 
 
-def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS, with_text: bool = True) -> DataFrame:
-    """One row a row of docs (id of any type, text): id, text (if wanted), and hits, an array of (item, lcs share), by item.
+def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """docs (with a column text) with the column hits, an array of (item, lcs share), by item.
 
     benchmark: (id, text); its items are taken in blocks by order of id. The items,
-    which are the queries of the search, are on the driver; documents never are.
+    which are the queries of the search, are on the driver; documents never are, and
+    of a document only its text goes to Python and only its hits come back.
     """
     blocks: list[list] = [[]]
     for r in benchmark.where("id is not null and text is not null").orderBy("id", "text").toLocalIterator():
@@ -205,31 +207,32 @@ def search(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items:
         pieces = [(k, w) for k, own in enumerate(words_of(block)) for w in pieces_of(own)]
         passes += [(block, pieces[at : at + block_items]) for at in range(0, len(pieces), block_items)]
     if not passes:
-        return docs.select("id", *["text"] * with_text, F.array().cast("array<struct<item:bigint,share:double>>").alias("hits"))
+        return docs.withColumn("hits", F.array().cast(HITS))
+    texts = docs.select("text")
     terms = np.unique(np.concatenate([w for _, pieces in passes for _, w in pieces]))
     df = np.zeros(len(terms), dtype=np.int64)
     for at in range(0, len(terms), COUNTED_TERMS):
-        df[at : at + COUNTED_TERMS], n = document_frequencies(docs.select("id", "text"), terms[at : at + COUNTED_TERMS])
+        df[at : at + COUNTED_TERMS], n = document_frequencies(texts, terms[at : at + COUNTED_TERMS])
+    spark = docs.sparkSession
     if len(passes) == 1:
-        return _search_block(docs, *passes[0], terms, df, n, rank, with_text)[0]
-    text_hash = [F.xxhash64("text", F.lit(k)).alias(f"h{k}") for k in (1, 2)]
+        return docs.withColumn("hits", hits_of(spark, *passes[0], terms, df, n, rank)[0](F.col("text")))
+    text_hash = [F.xxhash64("text", F.lit(k)).alias(f"__h{k}") for k in (1, 2)]
     found = None
     for block, pieces in passes:
-        hits, shared = _search_block(docs, block, pieces, terms, df, n, rank)
-        own = staged(hits.where(F.size("hits") > 0).select(*text_hash, F.explode("hits").alias("hit")).select("h1", "h2", "hit.*").distinct(), "hits")
+        hits, shared = hits_of(spark, block, pieces, terms, df, n, rank)
+        some = texts.withColumn("hits", hits(F.col("text"))).where(F.size("hits") > 0)
+        own = staged(some.select(*text_hash, F.explode("hits").alias("hit")).select("__h1", "__h2", "hit.*").distinct(), "hits")
         shared.destroy()
         found = own if found is None else found.unionByName(own)
     # an item that two passes hold parts of is found by either
-    found = found.groupBy("h1", "h2", "item").agg(F.max("share").alias("share")).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("item", "share"))).alias("hits"))
-    found = staged(found, "hits")
-    joined = docs.select("id", "text", *text_hash).join(bounded_broadcast(found, found.count(), BROADCAST_ROWS), ["h1", "h2"], "left")
-    return joined.select("id", *["text"] * with_text, F.coalesce("hits", F.array().cast("array<struct<item:bigint,share:double>>")).alias("hits"))
+    found = found.groupBy("__h1", "__h2", "item").agg(F.max("share").alias("share"))
+    found = staged(found.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_list(F.struct("item", "share"))).alias("hits")), "hits")
+    joined = docs.select("*", *text_hash).join(bounded_broadcast(found, found.count(), BROADCAST_ROWS), ["__h1", "__h2"], "left")
+    return joined.select(*docs.columns, F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
 def words_of(block: list) -> list[np.ndarray]:
     """The words of each item of a block of (id, text)."""
-    import pyarrow as pa
-
     words, counts = tokens(pa.array([t for _, t in block], pa.string()))
     return np.split(words, np.cumsum(counts)[:-1])
 
@@ -276,11 +279,8 @@ def candidates(space: dict, at: np.ndarray, cell: np.ndarray, of_doc: np.ndarray
                 yield size, begin + int(rows[r]), item
 
 
-def _search_block(docs: DataFrame, block: list, pieces: list, all_terms: np.ndarray, all_df: np.ndarray, n: int, rank: int, with_text: bool = True):
-    """(docs with the hits of the items that hold these pieces, (place in the block, words); what was broadcast for it)."""
-    import pyarrow as pa
-
-    spark = docs.sparkSession
+def hits_of(spark, block: list, pieces: list, all_terms: np.ndarray, all_df: np.ndarray, n: int, rank: int):
+    """(a function of a text column that gives the hits of the items that hold these pieces, (place in the block, words); what was broadcast for it)."""
     terms = np.unique(np.concatenate([w for _, w in pieces]))
     df = all_df[np.searchsorted(all_terms, terms)]
     owners, piece_places = [k for k, _ in pieces], [places(w, terms) for _, w in pieces]
@@ -293,49 +293,51 @@ def _search_block(docs: DataFrame, block: list, pieces: list, all_terms: np.ndar
     }
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.arrow_udf(HITS)
+    def hits(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         masks = [(bits(w), len(w), bits(w[-max(1, len(w) // 4) :]), max(1, len(w) // 4)) for w in m["words"]]
-        for batch in slices(batches):
-            words, counts = tokens(batch.column(1))
-            hits: list[dict[int, float]] = [{} for _ in counts]
-            begins = np.cumsum(counts) - counts
-            n_cells = -(-counts // CELL)
-            of_doc = np.repeat(np.arange(len(counts)), n_cells)
-            cell0 = np.cumsum(n_cells) - n_cells
-            at = places(words, m["terms"])
-            owner = np.repeat(np.arange(len(counts)), counts)
-            cell = cell0[owner] + (np.arange(len(words)) - begins[owner]) // CELL
-            tried: dict[tuple[int, int], int] = {}
-            for owners, space in m["spaces"]:
-                for size, c, k in candidates(space, at, cell, of_doc):
-                    item = owners[k]
-                    d = int(of_doc[c])
-                    mask, length, answer, n_answer = masks[item]
-                    a = int(begins[d]) + (c - int(cell0[d])) * CELL
-                    lo, hi = max(int(begins[d]), a - length), min(int(begins[d] + counts[d]), a + size * CELL + length)
-                    # regions of one item that begin within its length were seen already
-                    if tried.get((d, item), -1) >= hi and hits[d].get(item, 0) >= LCS:
-                        continue
-                    tried[d, item] = hi
-                    region = words[lo:hi].tolist()
-                    share = lcs(mask, length, region) / length
-                    if share >= LCS and lcs(answer, n_answer, region) / n_answer >= ANSWER:
-                        hits[d][item] = max(hits[d].get(item, 0.0), share)
-            kind = pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))
-            rows = []
-            for h in hits:
-                best: dict[int, float] = {}  # items of one id are one
-                for k, share in h.items():
-                    best[m["ids"][k]] = max(share, best.get(m["ids"][k], 0.0))
-                rows.append([{"item": i, "share": s} for i, s in sorted(best.items())])
-            out = [("id", batch.column(0)), *[("text", batch.column(1))] * with_text, ("hits", pa.array(rows, kind))]
-            yield pa.RecordBatch.from_arrays([x for _, x in out], names=[name for name, _ in out])
-
-    hits = ArrayType(StructType().add("item", LongType()).add("share", DoubleType()))
-    schema = StructType().add("id", docs.schema["id"].dataType)
-    schema = (schema.add("text", StringType()) if with_text else schema).add("hits", hits)
-    return docs.select("id", "text").mapInArrow(run, schema), shared
+        for column in columns:
+            parts = [found(m, masks, part.column(0)) for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], column=0)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], KIND)
+
+    return hits.asNondeterministic(), shared  # so that it is run once a row, wherever its result is read
+
+
+def found(m: dict, masks: list, column) -> pa.Array:
+    """The hits of each text of a column."""
+    words, counts = tokens(column)
+    hits: list[dict[int, float]] = [{} for _ in counts]
+    begins = np.cumsum(counts) - counts
+    n_cells = -(-counts // CELL)
+    of_doc = np.repeat(np.arange(len(counts)), n_cells)
+    cell0 = np.cumsum(n_cells) - n_cells
+    at = places(words, m["terms"])
+    owner = np.repeat(np.arange(len(counts)), counts)
+    cell = cell0[owner] + (np.arange(len(words)) - begins[owner]) // CELL
+    tried: dict[tuple[int, int], int] = {}
+    for owners, space in m["spaces"]:
+        for size, c, k in candidates(space, at, cell, of_doc):
+            item = owners[k]
+            d = int(of_doc[c])
+            mask, length, answer, n_answer = masks[item]
+            a = int(begins[d]) + (c - int(cell0[d])) * CELL
+            lo, hi = max(int(begins[d]), a - length), min(int(begins[d] + counts[d]), a + size * CELL + length)
+            # regions of one item that begin within its length were seen already
+            if tried.get((d, item), -1) >= hi and hits[d].get(item, 0) >= LCS:
+                continue
+            tried[d, item] = hi
+            region = words[lo:hi].tolist()
+            share = lcs(mask, length, region) / length
+            if share >= LCS and lcs(answer, n_answer, region) / n_answer >= ANSWER:
+                hits[d][item] = max(hits[d].get(item, 0.0), share)
+    rows = []
+    for h in hits:
+        best: dict[int, float] = {}  # items of one id are one
+        for k, share in h.items():
+            best[m["ids"][k]] = max(share, best.get(m["ids"][k], 0.0))
+        rows.append([{"item": i, "share": s} for i, s in sorted(best.items())])
+    return pa.array(rows, KIND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -343,7 +345,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = search(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
         benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).alias("text")),
-        with_text=False,
     )
     return found.select(
         F.col("id").alias(id_col),
@@ -355,12 +356,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, each by its own verdict, whatever its doc_id."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    found = search(
-        docs.select(F.struct(*others).alias("id"), "text"),
-        benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text"),
-    )
-    return found.where(F.size("hits") == 0).select(*(F.col("text") if c == "text" else F.col("id")[c].alias(c) for c in docs.columns))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # whatever its columns are named
+    found = search(docs.select(row, docs["text"].alias("text")), benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text"))
+    return found.where(F.size("hits") == 0).select("row.*")
 
 
 def op4_decontamination(spark, sf_dir):

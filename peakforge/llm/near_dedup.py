@@ -333,6 +333,13 @@ def block_links(keyed: DataFrame, labels: DataFrame | None, sets: DataFrame, sim
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """One row a row of docs: id, class_id (the smallest id of its class), n_shingles."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        out = _classified(plain, similarity, rounds)
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("runs").alias("n_shingles"))
+
+
+def _classified(plain: DataFrame, similarity: float, rounds: int) -> DataFrame:
+    """(id, class_id, runs) of (id, text), written."""
     done: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -368,8 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = kept(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             return False
-        with small_batches(pairs.sparkSession):
-            new = kept(checked(pairs, sets, similarity), "checked")
+        new = kept(checked(pairs, sets, similarity), "checked")
         links = links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if new.limit(1).count():
@@ -382,12 +388,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     crowd = kept(crowded(buckets, labels), "crowd")
     if crowd.limit(1).count():
-        with small_batches(docs.sparkSession):
-            keyed = kept(prefixes(crowd, sets, similarity, kept), "prefixes")
+        keyed = kept(prefixes(crowd, sets, similarity, kept), "prefixes")
         # most groups are of two, whom a leader settles
         led(keyed, "key", rounds)
-        with small_batches(docs.sparkSession):
-            rest = kept(block_links(keyed, labels, sets, similarity, kept), "rest")
+        rest = kept(block_links(keyed, labels, sets, similarity, kept), "rest")
         if rest.limit(1).count():
             links = links.unionByName(rest)
             labels = classes_of(links)
@@ -404,7 +408,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = staged(out, "near-classes")
     for old in done:  # band keys, sets and links are not read again
         discard(old)
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("runs").alias("n_shingles"))
+    return out
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

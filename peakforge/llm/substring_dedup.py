@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, read, slices, staged, utf8
+from .common import discard, read, slices, small_batches, staged, utf8
 from .shingles import _INVERSE, _P, MASK, _powers, mix
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -335,6 +335,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with copy are copies of a text of smaller id; they have no spans but go whole if long enough.
     """
+    with small_batches(docs.sparkSession):
+        return _removed_spans(docs, id_col, text_col)
+
+
+def _removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     slim = staged(plain.select("id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
