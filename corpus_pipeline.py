@@ -6,8 +6,12 @@ benchmark item go), mixing sources to target weights (documents come as often as
 the mix takes them), sharding (each row gets its old and new shard).
 
 A null column never stops a stage: null texts fail the length rule; a null id is
-never a duplicate; a null source is a source of its own. No stage can be
-expressed in SQL as a whole, so the pipeline is tested against brute force.
+never a duplicate; a null source is a source of its own. No stage but the first can
+be expressed in SQL as a whole, so the pipeline is tested stage by stage against
+brute force.
+
+Stages bound the bytes of Arrow batches in the session, since their plans run
+after they return.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peakforge.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from peakforge.llm.common import staged
+from peakforge.llm.common import ARROW_BYTES, BATCH_BYTES, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
