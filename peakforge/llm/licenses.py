@@ -236,3 +236,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def op6_licenses(spark, sf_dir):
     return scan(read(spark, sf_dir, "documents", "doc_id", "text")).drop("detections")
+
+
+def license_places(spark, sf_dir):
+    """What of the scan SQL can say: words and base phrases."""
+    return op6_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _places_sql() -> str:
+    found = " union all ".join(
+        f"select doc_id, '{label}' label, i - 1 place from (select doc_id, w, unnest(range(1, len(w) + 1)) i from d) where w[i : i + {len(p.split()) - 1}] = {p.split()}" for p, label in PHRASES
+    )
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents), p as ({found})
+select d.doc_id, len(w)::bigint n_words, count(place)::bigint n_base, min(place)::bigint first_word, max(place)::bigint last_word, coalesce(string_agg(distinct label, ',' order by label), '') base_labels
+from d left join p using (doc_id) group by d.doc_id, w
+"""
+
+
+LICENSE_PLACES_SQL = _places_sql()

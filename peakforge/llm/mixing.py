@@ -157,3 +157,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 def op2_mixing(spark, sf_dir):
     out = mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
+def mix_targets(spark, sf_dir):
+    """What of the mix SQL can say: sizes and targets; the order of documents within a source is by hashes that only Spark has."""
+    return mix(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+MIX_TARGETS_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+s as (select source, sum(size)::bigint n, [3.0::double, 1.0::double, 2.0::double][1 + (row_number() over (order by source nulls last) - 1) % 3] w from d group by 1),
+o as (select *, 2.0::double * n cap, row_number() over (order by 2.0::double * n / w, source nulls last) k from s),
+v as (select *, (1.5::double * sum(n) over () - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) level from o window before as (order by k rows between unbounded preceding and 1 preceding)),
+f as (select *, cap / w <= level filled from v), g as (select arg_min(level, k) filter (where not filled) final from f),
+t as (select source s, n, case when filled then cap else least(cap, final * w) end target from f, g)
+select doc_id, size, n source_size, round(target, 6) target from d join t on source is not distinct from s
+"""

@@ -431,3 +431,19 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: All pairs that share a shingle, and the closure of those that are alike.
+OP10_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, hash(w[i : i + 4]) g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w) + 1, 2)))) i from d)),
+n as (select doc_id, count(*) n from s group by 1),
+l as (select doc_id, list(g order by g) h from s group by 1),
+c as (select min(doc_id) a, h from l group by h),
+r as (select doc_id, g from s where doc_id in (select a from c)),
+m as (select x.doc_id a, y.doc_id b, count(*) k from r x join r y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+e as (select a, b from m join n p on p.doc_id = a join n q on q.doc_id = b where k >= 0.8 * (p.n + q.n - k) union select a, doc_id from c join l using (h) where doc_id <> a),
+e2 as (select a, b from e union select b, a from e),
+reach as (select doc_id id, doc_id c from d union select id, b from reach join e2 on e2.a = reach.c)
+select d.doc_id, min(c)::bigint class_id, greatest(len(w) - 4, least(len(w), 1))::bigint n_shingles from d join reach on id = doc_id group by d.doc_id, w
+"""

@@ -15,5 +15,17 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    # the parts that SQL can say of operators that it cannot say whole
+    "mix_targets": mixing.mix_targets,
+    "license_places": licenses.license_places,
+    "shard_law": sharding.shard_law,
+}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op5_secrets": secrets.OP5_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
+    "mix_targets": mixing.MIX_TARGETS_SQL,
+    "license_places": licenses.LICENSE_PLACES_SQL,
+    "shard_law": sharding.SHARD_LAW_SQL,
 }
-SQL: dict[str, str] = {"op7_quality_rules": quality_rules.OP7_SQL}

@@ -221,3 +221,28 @@ def op5_secrets(spark, sf_dir):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(shown(True).cast("binary"), 256).alias("base_sha256"), shown(False).alias("spans"))
+
+
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The spans from what stands between matches: a match begins where all before it, matched or not, ends."""
+
+    def either(x: str) -> str:
+        return re.sub(r"(?<!\\)[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", x)
+
+    parts = []
+    for k, r in enumerate(rules):
+        # the words of a rule in either case; its other characters stand in classes of their own
+        words, rest = r.pattern.split(")", 1) if r.flags & re.IGNORECASE else ("", r.pattern)
+        p = ((either(words) + ")" if words else "") + rest).replace("'", "''")
+        parts.append(f"select doc_id, {k} k, '{r.kind}' kind, {r.least} least, regexp_extract_all(t, '{p}') m, regexp_extract_all(t, '{p}', {r.group}) v, string_split_regex(t, '{p}') s from d")
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents), r as ({" union all ".join(parts)}),
+e as (select doc_id, k, kind, least, unnest(range(1, len(m) + 1)) i, m, v, s from r),
+f as (select doc_id, k, kind, list_sum(list_transform(s[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) a, length(m[i]) n from e where length(v[i]) >= least),
+g as (select doc_id, kind, k, a, kind || ':' || a::bigint || ':' || (a + n)::bigint x from f)
+select doc_id, count(*) filter (where kind = 'assign')::bigint n_assign, count(*) filter (where kind = 'access')::bigint n_access, count(*) filter (where kind = 'hex')::bigint n_hex,
+  sha256(coalesce(string_agg(x, ',' order by a, k) filter (where k < {sum(r.base for r in rules)}), '')) base_sha256, coalesce(string_agg(x, ',' order by a, k), '') spans from d left join g using (doc_id) group by doc_id
+"""
+
+
+OP5_SQL = _sql()

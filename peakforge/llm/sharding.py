@@ -209,3 +209,17 @@ def op8_sharding(spark, sf_dir):
     return out.select(
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def shard_law(spark, sf_dir):
+    """One row that says whether the law holds: shards used, rows, bytes, gapless slots, and no shard's bytes above another's by more than the largest row."""
+    rows = op8_sharding(spark, sf_dir)
+    by = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    gapless = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    return by.agg(
+        F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.every(gapless).alias("gapless"),
+        (F.max("bytes") - F.min("bytes") <= F.max("most")).alias("even"),
+    )
+
+
+SHARD_LAW_SQL = "select 40::bigint shards, count(*)::bigint as rows, sum(octet_length(encode(coalesce(text, ''))) + 16)::bigint bytes, true gapless, true even from documents"

@@ -394,3 +394,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op1_substring_dedup(spark, sf_dir):
     return deduplicated(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: Windows are compared by a hash of their hex digits; texts go in blocks of 1000 window starts.
+OP1_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+l as (select doc_id, h, (length(h) / 2)::bigint n from d),
+b as (select doc_id, j, h[2000 * j + 1 : 2000 * j + 2198] s, least(1000, n - 99 - 1000 * j) m from (select doc_id, h, n, unnest(range((n - 99 + 999) // 1000)) j from l where n >= 100)),
+w as (select doc_id, 1000 * j + k k, hash(s[2 * k + 1 : 2 * k + 200]) g from (select doc_id, j, s, unnest(range(m)) k from b)),
+f as (select g, min(row(doc_id, k)) first from w group by 1 having count(*) > 1),
+x as (select doc_id, k from w join f using (g) where row(doc_id, k) > first),
+i as (select doc_id, k, sum(new) over (partition by doc_id order by k) run from (select doc_id, k, case when k <= lag(k) over (partition by doc_id order by k) + 100 then 0 else 1 end new from x)),
+s as (select doc_id, min(k) a, max(k) + 100 b from i group by doc_id, run),
+t as (select doc_id, a, coalesce(lag(b) over (partition by doc_id order by a), 0) before, b from s),
+p as (select t.doc_id, sum(b - a)::bigint n_removed, count(*)::bigint n_spans, string_agg(h[2 * before + 1 : 2 * a], '' order by a) || h[2 * max(b) + 1 :] kept from t join l using (doc_id) group by t.doc_id, h)
+select doc_id, n n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from l left join p using (doc_id)
+"""
