@@ -41,12 +41,14 @@ def pearson(left: DataFrame, right: DataFrame, slots: int) -> DataFrame:
 
 
 def p_norm(left: DataFrame, right: DataFrame, p: float = 2.0) -> DataFrame:
-    """1 - |x - y| / (|x| + |y|) in the p-norm, p at least 1, of pairs that share a slot.
+    """1 - |x - y| / (|x| + |y|) in the p-norm, p at least 1, of pairs that share a slot; p of 0 and -1 see _mean_norm.
 
     Slots of only one side come in by the totals: nothing but shared slots is joined.
     """
+    if p in (0, -1):
+        return _mean_norm(left, right, p)
     if p < 1:
-        raise ValueError("p must be 1 or more")
+        raise ValueError("p must be 1 or more, or 0 or -1")
     power = lambda c: F.pow(F.abs(c), F.lit(p))
     x, y = F.col("x"), F.col("y")
     shared = _shared(left, right).groupBy("a", "b").agg(F.sum(power(x - y) - power(x) - power(y)).alias("d"))
@@ -56,6 +58,14 @@ def p_norm(left: DataFrame, right: DataFrame, p: float = 2.0) -> DataFrame:
     return j.select("a", "b", (1 - root(F.col("d") + F.col("a_t") + F.col("b_t")) / (root(F.col("a_t")) + root(F.col("b_t")))).alias("similarity"))
 
 
+def _mean_norm(left: DataFrame, right: DataFrame, p: float) -> DataFrame:
+    """As p_norm with the geometric (p = 0) or harmonic (p = -1) mean of absolute values over shared slots, where zeros make either 0."""
+    mean = (lambda c: F.when(F.min(F.abs(c)) > 0, F.exp(F.avg(F.log(F.abs(c))))).otherwise(0.0)) if p == 0 else (lambda c: F.when(F.min(F.abs(c)) > 0, F.try_divide(F.lit(1.0), F.avg(F.try_divide(F.lit(1.0), F.abs(c))))).otherwise(0.0))
+    x, y = F.col("x"), F.col("y")
+    j = _shared(left, right).groupBy("a", "b").agg(mean(x - y).alias("d"), mean(x).alias("n"), mean(y).alias("m"))
+    return j.select("a", "b", (1 - F.coalesce(F.try_divide(F.col("d"), F.col("n") + F.col("m")), F.lit(0.0))).alias("similarity"))
+
+
 def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     """Shared slots over all slots."""
     both = _shared(left, right).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))

@@ -124,21 +124,21 @@ def pair_edges(neighbors: DataFrame, peaks: DataFrame, norms: DataFrame, toleran
     return pairs.join(scored.drop("n1", "n2"), ["source", "target"])
 
 
-def candidate_dp(pairs: DataFrame, queries: DataFrame, peaks: DataFrame, tolerance: int) -> DataFrame:
+def candidate_dp(pairs: DataFrame, queries: DataFrame, peaks: DataFrame, tolerance: int, once: bool = True) -> DataFrame:
     """(query_id, idx, dp) of given pairs (query_id, idx): both spectra come to the pair as one array each; pairs without a shared peak go."""
 
     def lists(p: DataFrame, key: str, name: str) -> DataFrame:
         return p.where("bin > 0").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("w", "bin")), asc=False).alias(name))
 
     met = pairs.join(lists(queries, "query_id", "sp"), "query_id").join(lists(peaks.withColumnRenamed("spec_id", "idx"), "idx", "tp"), "idx")
-    return met.select("query_id", "idx", pair_dp(F.col("sp"), F.col("tp"), tolerance).alias("dp")).where("dp > 0")
+    return met.select("query_id", "idx", pair_dp(F.col("sp"), F.col("tp"), tolerance, once).alias("dp")).where("dp > 0")
 
 
-def pair_dp(source: Column, target: Column, tolerance: int) -> Column:
+def pair_dp(source: Column, target: Column, tolerance: int, once: bool = True) -> Column:
     """The exact score of two arrays of (w, bin), the heaviest first: a column expression.
 
     A target peak meets the heaviest source peak within the tolerance, and of the
-    target peaks that meet one source peak the heaviest counts.
+    target peaks that meet one source peak the heaviest counts, or all if not ``once``.
     """
     last = BINS + 1 - tolerance
 
@@ -152,7 +152,7 @@ def pair_dp(source: Column, target: Column, tolerance: int) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("dp"), F.array().cast("array<int>").alias("used"))
 
     def step(acc: Column, h: Column) -> Column:
-        fresh = ~F.array_contains(acc["used"], h["v"])
+        fresh = ~F.array_contains(acc["used"], h["v"]) if once else F.lit(True)
         return F.when(fresh, F.struct((acc["dp"] + h["v"] * h["cw"]).cast("bigint").alias("dp"), F.array_append(acc["used"], h["v"].cast("int")).alias("used"))).otherwise(acc)
 
     return F.coalesce(F.aggregate(hits, start, step, lambda acc: acc["dp"]), F.lit(0).cast("bigint"))
@@ -175,6 +175,28 @@ def recall_at(found: DataFrame, truth: DataFrame) -> DataFrame:
     return by_rank.withColumn("cumulative_found", F.sum("found").over(upto)).withColumn("cumulative_total", F.sum("total").over(upto))
 
 
+def peptide_recall(neighbors: DataFrame, peptides: DataFrame, ranks: int = 10) -> DataFrame:
+    """(rank, found, total): of queries whose peptide another spectrum has too, how many have such a one among the first ``rank`` neighbours.
+
+    neighbors: (query_id, idx, rank), peptides: (id, peptide) of sure annotations; I and L are alike.
+    """
+    known = peptides.select("id", F.translate("peptide", "I", "L").alias("p"))
+    several = known.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p")
+    asked = known.join(several, "p").select(F.col("id").alias("query_id"), "p").join(neighbors.select("query_id").distinct(), "query_id", "left_semi")
+    others = neighbors.where("idx <> query_id").join(known.select(F.col("id").alias("idx"), F.col("p").alias("q")), "idx").join(asked, "query_id").where("p = q")
+    first = asked.join(others.groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
+    each = first.select(F.explode(F.sequence(F.lit(1), F.lit(ranks))).alias("rank"), "first")
+    return each.groupBy("rank").agg(F.count_if(F.col("first") <= F.col("rank")).alias("found"), F.count(F.lit(1)).alias("total"))
+
+
+def convolution(pairs: DataFrame, queries: DataFrame, peaks: DataFrame, most: int) -> DataFrame:
+    """(query_id, idx, shift, weight): sums of products of peaks whose bins differ by each shift of at most ``most`` bins. pairs: (query_id, idx)."""
+    q = pairs.join(queries.select("query_id", F.col("bin").alias("qb"), F.col("w").alias("qw")), "query_id")
+    c = peaks.select(F.col("spec_id").alias("idx"), "bin", "w")
+    met = q.join(c, "idx").where(F.abs(F.col("bin") - F.col("qb")) <= most)  # of given pairs, 50 by 50 peaks at most
+    return met.groupBy("query_id", "idx", (F.col("bin") - F.col("qb")).alias("shift")).agg(F.sum(F.col("w") * F.col("qw")).cast("bigint").alias("weight"))
+
+
 def unmatched(query: DataFrame, candidates: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """(query peaks a pair, candidate peaks) without those that meet: peaks of one pair within the tolerance, which are dealt by buckets of it.
 

@@ -76,6 +76,11 @@ def tail_model(points: DataFrame, key: str = "query_id", least: int = 50, r2: fl
     return fits.groupBy(key).agg(F.min(F.struct("lo", "n", "k", "b", "r2")).alias("m")).select(key, "m.*")
 
 
+def tail_model_early(points: DataFrame, key: str = "query_id", least: int = 10, r2: float = 0.99) -> DataFrame:
+    """(key, lo, n, k, b, r2): the older fit, of fewer points but a better line."""
+    return tail_model(points, key, least, r2)
+
+
 def p_value(dp: Column, k: Column, b: Column, size: Column) -> Column:
     """1 - (1 - 10^(k dp + b))^size, 1 where above 0.1; spectra without a model get the constant of no model."""
     p = F.least(F.pow(F.lit(10.0), k * dp + b), F.lit(1.0))

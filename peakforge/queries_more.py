@@ -445,6 +445,73 @@ def peaks_annotated(spark, d):
     return out.select("spec_id", F.col("mz").cast("int").alias("bin"), F.col("ion.position").alias("ion"), r6("ion.gap", "gap", 4))
 
 
+PSMS = "(select id scan, 'run' || file_id base, charge, peptide, score xcorr, case when id % 9 = 0 then 2 else 1 end hit_rank from gt)"
+
+
+def _psms(spark, d) -> DataFrame:
+    base = F.concat(F.lit("run"), F.col("file_id").cast("string"))
+    return P.ground_truth(spark, d).select(F.col("id").cast("int").alias("scan"), base.alias("base"), "charge", "peptide", F.col("score").alias("xcorr"), F.when(F.col("id") % 9 == 0, 2).otherwise(1).alias("hit_rank"))
+
+
+@query(f"select base, scan::int scan, charge, peptide from {PSMS} where hit_rank = 1 and scan % 7 = 0 and charge = 1 + (scan % 3)", "gt")
+def psms_by_scan(spark, d):
+    p = _psms(spark, d)
+    return psms.by_scan(p, p.where("scan % 7 = 0").select("base", "scan", (1 + F.col("scan") % 3).cast("int").alias("charge"))).select("base", "scan", "charge", "peptide")
+
+
+@query(f"select printf('%s.%05d.%05d', base, scan, scan) as name, base, scan::int scan, charge, peptide from {PSMS} where hit_rank = 1 and charge between 1 and 3 and scan % 5 = 0", "gt")
+def psms_by_name(spark, d):
+    p = _psms(spark, d)
+    names = p.where("scan % 5 = 0").select(F.format_string("%s.%05d.%05d", "base", "scan", "scan").alias("name"))
+    return psms.by_name(p, names, 3).select("name", "base", "scan", "charge", "peptide")
+
+
+@query(f"select id, 'run' || file_id || '.mzML' file from gt where id in (select scan from {PSMS} where xcorr > 5000)", "gt")
+def spectra_of_psms(spark, d):
+    s = P.ground_truth(spark, d).select("id", F.concat(F.lit("/d/run"), F.col("file_id").cast("string"), F.lit(".mzML")).alias("file"), F.col("id").cast("int").alias("scan"))
+    return psms.spectra_of_psms(s, _psms(spark, d).where("xcorr > 5000")).select("id", scalar.base_name(F.col("file")).alias("file"))
+
+
+@query(
+    "select rank::int rank, count(*) filter (where first <= rank)::bigint found, count(*)::bigint total from (select q.query_id, (select min(n.rank) from nn n join gt g on g.id = n.idx where n.query_id = q.query_id and n.idx <> q.query_id and replace(g.peptide, 'I', 'L') = q.p) first "
+    "from (select distinct query_id, replace(peptide, 'I', 'L') p from nn join gt on id = query_id) q), range(1, 11) t(rank) group by 1",
+    "nn", "gt",
+)
+def peptide_recall(spark, d):
+    return score.peptide_recall(_neighbors(spark, d), P.ground_truth(spark, d).select("id", "peptide")).select("rank", "found", "total")
+
+
+@query("select query_id, idx, (b.bin - a.bin)::int shift, sum(a.w * b.w)::bigint weight from nn join peaks a on a.spec_id = query_id join peaks b on b.spec_id = idx where nn.rank <= 2 and abs(b.bin - a.bin) <= 30 group by 1, 2, 3", "nn", "peaks")
+def convolution(spark, d):
+    p = P.peaks(spark, d)
+    return score.convolution(_neighbors(spark, d, 2).select("query_id", "idx"), P.queries_of(p), p, 30).select("query_id", "idx", "shift", "weight")
+
+
+@query("select query_id, idx, sum(v * cw)::bigint dp from hits where idx % 7 = query_id % 7 group by 1, 2", "hits")
+def candidate_scores_unmasked(spark, d):
+    p = P.peaks(spark, d)
+    q = P.queries_of(p)
+    pairs = q.select("query_id").distinct().withColumn("k", F.col("query_id") % 7).join(p.select(F.col("spec_id").alias("idx")).distinct().withColumn("k", F.col("idx") % 7), "k")
+    return score.candidate_dp(pairs.select("query_id", "idx"), q, p, P.TOLERANCE, once=False)
+
+
+@query("select query_id, idx, rank::int rank from nn", "nn")
+def neighbor_lists(spark, d):
+    from .sources import sinks
+
+    path = _scratch(spark, "lists")
+    sinks.write_neighbor_lists(_neighbors(spark, d), path)
+    return sinks.read_neighbor_lists(spark, path).select("query_id", "idx", "rank")
+
+
+for _p, _mean in ((0, "case when min(abs({x})) > 0 then exp(avg(ln(nullif(abs({x}), 0)))) else 0 end"), (-1, "case when min(abs({x})) > 0 then 1 / avg(1 / nullif(abs({x}), 0)) else 0 end")):
+    _n = "pnorm_geometric" if _p == 0 else "pnorm_harmonic"
+    QUERIES[_n] = lambda spark, d, p=_p: metrics.p_norm(*_vectors(spark, d), p=p).select("a", "b", r6("similarity", "similarity"))
+    SQL[_n] = sql(
+        f"select a, b, round(1 - coalesce(d / nullif(n + m, 0), 0), 6) similarity from (select a.spec_id a, b.spec_id b, {_mean.format(x='(a.x - b.x)')} d, {_mean.format(x='a.x')} n, {_mean.format(x='b.x')} m from qv a join vec b using (slot) group by 1, 2)", "vec", "qv"
+    )
+
+
 # --- dense vectors --------------------------------------------------------------------------------------
 
 V = "(select vec_id, embedding::double[] v from embeddings)"

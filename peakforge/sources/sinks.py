@@ -56,6 +56,28 @@ def write_compact(encoded: DataFrame, path: str, bins: str = "bins", rows: int =
         out.close()
 
 
+def write_neighbor_lists(neighbors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The k-NN graph: (id, neighbors) with an array of ids, the nearest first, of (query_id, idx, rank)."""
+    lists = neighbors.groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "idx"))), lambda x: x["idx"]).alias("neighbors"))  # topn at most
+    lists.write.mode(mode).parquet(path)
+
+
+def read_neighbor_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, idx, rank) of a k-NN graph."""
+    return spark.read.parquet(path).select(F.col("id").alias("query_id"), F.posexplode("neighbors").alias("p", "idx")).select("query_id", "idx", (F.col("p") + 1).alias("rank"))
+
+
+def quality_report(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """The validation table: (query_id, peptide, rank), rank the first neighbour of the other engine's peptide, null if none."""
+    return truth.select("query_id", "peptide").join(found.select("query_id", "rank"), "query_id", "left")
+
+
+def p_value_dump(p_values: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One line a hit: query, hit, p-value and its spread over seeds."""
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("query_id", "idx", "p", "p_std")])
+    p_values.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def batch_report(neighbors: DataFrame, annotations: DataFrame, only_significant: bool = True) -> DataFrame:
     """Rows of a batch search: one a hit, with the annotation of the hit. neighbors: (query_id, rank, idx, dist, p, p_std, score)."""
     a = annotations.select(F.col("id").alias("idx"), "peptide", "protein", "iprophetprob", "peptideprophetprob", "significance", "precursor", "charge", "modification")
