@@ -24,7 +24,8 @@ group are formed as rows, and a bucket of one class, however large, costs as man
 pairs as members.
 
 Classes come from contraction: every node takes the least of random ranks within
-two links, so that chains of n links take about log n rounds and stars one.
+two links, so that chains of n links take about log n rounds and stars one, until
+few enough links are left for one task.
 
 Null, empty and blank texts have no shingles and are classes of their own, as
 documents with a null id are. Texts of one to four words are one shingle. Rows
@@ -47,6 +48,8 @@ BANDS, ROWS = 24, 4
 ROUNDS = 2
 #: Documents and shingles in a block, and columns of the block's matrix that are multiplied at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
+#: Links that one task takes, some 50 MB of them.
+LINKS_AT_ONCE = 1_000_000
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -167,17 +170,41 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def classes_of(links: DataFrame) -> DataFrame:
+def joined_up(batches):
+    """(a, up) of links (a, b): up is the smallest node that is connected. All links, a bounded number, are here."""
+    import pyarrow as pa
+
+    pairs = [np.column_stack([b.column(k).to_numpy() for k in range(2)]) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    nodes, ends = np.unique(np.concatenate(pairs), return_inverse=True)
+    up = np.arange(len(nodes))
+    ends = ends.reshape(-1, 2)
+    while True:
+        # each end's root learns the least root that a link brings it, then all paths are shortened
+        roots = up[ends]
+        least = roots.min(1)
+        if (roots == least[:, None]).all():
+            break
+        np.minimum.at(up, roots.ravel(), np.repeat(least, 2))
+        while (up[up] != up).any():
+            up = up[up]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["a", "up"])
+
+
+def classes_of(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """(id, class) of the links (a, b): class is the smallest id that is connected.
 
-    A round gives the nodes that are left random ranks, contracts each to the
-    lowest within two links, and drops links within one node. At least half of
-    the nodes of a chain go in a round, all of a star. Nothing but counts comes to
-    the driver; the rounds' maps, ever smaller, are put together at the end.
+    While there are more than ``at_once`` links, a round gives the nodes that are
+    left random ranks, contracts each to the lowest within two links, and drops
+    links within one node: at least half of the nodes of a chain go in a round, all
+    of a star. What is left then, a bounded number of links, one task settles. Nothing
+    but counts comes to the driver; the rounds' maps, ever smaller, are put together
+    at the end.
     """
     edges = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     rounds: list[DataFrame] = []
-    while edges.limit(1).count():
+    while edges.limit(at_once + 1).count() > at_once:
 
         def ranked(c: str, salt: int = len(rounds)):
             return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("r"), F.col(c).alias("i"))
@@ -194,10 +221,12 @@ def classes_of(links: DataFrame) -> DataFrame:
         discard(near)
         edges = moved
         rounds.append(up)
-    if not rounds:  # no links, no classes
-        out = edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
-        out.staged_path = edges.staged_path
+    top = edges.coalesce(1).mapInArrow(joined_up, "a bigint, up bigint")
+    if not rounds:
+        out = staged(top.select(F.col("a").alias("id"), F.col("up").alias("class")), "classes")
+        discard(edges)
         return out
+    rounds.append(staged(top, "contracted"))
     found = rounds[-1]
     for step in reversed(rounds[:-1]):
         rest = found.select(F.col("a").alias("up"), F.col("up").alias("root"))

@@ -15,9 +15,13 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     rows = [(i, i + 1) for i in range(1000)] + [(5000, 5001 + i) for i in range(500)] + [(9000 + i, 9000 + (i + 1) % 7) for i in range(7)]
     rounds, real = [], near_dedup.staged
     monkeypatch.setattr(near_dedup, "staged", lambda df, name: rounds.append(name) or real(df, name))
-    found = {r.id: r["class"] for r in near_dedup.classes_of(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
-    assert found == {i: 0 for i in range(1001)} | {i: 5000 for i in range(5000, 5501)} | {i: 9000 for i in range(9000, 9007)}
-    assert rounds.count("contracted") <= 12
+    links, want = spark.createDataFrame(rows, "a bigint, b bigint"), {i: 0 for i in range(1001)} | {i: 5000 for i in range(5000, 5501)} | {i: 9000 for i in range(9000, 9007)}
+    assert {r.id: r["class"] for r in near_dedup.classes_of(links, 0).collect()} == want
+    assert 3 <= rounds.count("contracted") <= 12
+    rounds.clear()
+    assert {r.id: r["class"] for r in near_dedup.classes_of(links, 100).collect()} == want and rounds.count("contracted") <= 6
+    rounds.clear()
+    assert {r.id: r["class"] for r in near_dedup.classes_of(links).collect()} == want and rounds.count("contracted") == 0
 
 
 def test_no_links(spark):
