@@ -346,6 +346,8 @@ def _removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     # written, so that the join deals both sides and Spark can split a large group of copies
     firsts = staged(slim.groupBy("t", "sha").agg(F.min("id").alias("rep")), "firsts")
     rows = staged(slim.join(firsts, ["t", "sha"]).withColumn("copy", F.col("id") > F.col("rep")).drop("rep"), "rows")
+    discard(slim)
+    discard(firsts)
     copies = rows.where("copy").select("id", "t").distinct()
     own = staged(anchor_hashes(plain.select("id", "text")), "anchors")
     # a copy's anchors are its first text's; a document that is but a copy is not counted
@@ -360,6 +362,8 @@ def _removed_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     discard(own)
     firsts_only = plain.join(found, "id").join(copies, ["id", "t"], "left_anti")
     strings = staged(window_strings(firsts_only.select("id", "t", "text", "found")), "strings")
+    discard(found)
+    discard(whole)
     hot = strings.where("hot")
     heads = hot.groupBy("key", "same").agg(F.min(F.struct("id", "start", "t")).alias("head"), F.max("n").alias("n"), F.max("string").alias("string"))
     heads = staged(heads.select("key", "same", "head.id", "head.t", "head.start", "n", F.lit(True).alias("hot"), "string"), "heads")
