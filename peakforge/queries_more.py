@@ -132,7 +132,7 @@ def _raw(spark, d) -> DataFrame:
 
 
 def _long(df: DataFrame) -> DataFrame:
-    return df.select("spec_id", F.explode("peaks").alias("p")).select("spec_id", r6("p.mz", "mz", 4), r6("p.intensity", "intensity", 6))
+    return df.select("spec_id", F.explode("peaks").alias("p")).select("spec_id", r6("p.mz", "mz", 4), r6("p.intensity", "intensity", 11))
 
 
 def _peak_query(name: str, text: str, f) -> None:
@@ -140,7 +140,7 @@ def _peak_query(name: str, text: str, f) -> None:
     SQL[name] = f"with {RAWPK}{text}"
 
 
-ROWS = "select spec_id, round(mz, 4) mz, round(intensity, 6) intensity from "
+ROWS = "select spec_id, round(mz, 4) mz, round(intensity, 11) intensity from "
 NEAR = "((mz > precursor_mz - 17 and mz < precursor_mz + 3) or (mz > 2 * precursor_mz - {p} - 17 and mz < 2 * precursor_mz - {p} + 3))"
 for _name, _text, _f in (
     ("peaks_outside_precursor", f"{ROWS} rawpk where not {NEAR.format(p=PROTON)}", lambda p, m: F.filter(p, lambda x: ~encode.in_precursor_window(x["mz"], m))),
@@ -152,7 +152,7 @@ for _name, _text, _f in (
     ("peaks_without_range", f"{ROWS} rawpk where not mz between 400 and 900", lambda p, m: encode.without(p, 400, 900)),
     ("peaks_most_intense", f"{ROWS} ord where k <= 3", lambda p, m: encode.most_intense(p, 3)),
     ("peaks_ranked", "select spec_id, round(mz, 4) mz, greatest(4 - (k - 1), 0)::double intensity from ord", lambda p, m: encode.rank_as_intensity(p, 4)),
-    ("peaks_sum_normalised", "select spec_id, round(mz, 4) mz, round(intensity / sum(intensity) over (partition by spec_id), 6) intensity from rawpk", lambda p, m: encode.sum_normalised(p)),
+    ("peaks_sum_normalised", "select spec_id, round(mz, 4) mz, round(intensity / sum(intensity) over (partition by spec_id), 11) intensity from rawpk", lambda p, m: encode.sum_normalised(p)),
     ("peaks_shifted", f"{ROWS} (select spec_id, mz, intensity from rawpk union all select spec_id, mz + 2000, intensity from ord where k <= 2)", lambda p, m: encode.shifted_concat(p, encode.most_intense(p, 2))),
 ):
     _peak_query(_name, _text, _f)
@@ -165,7 +165,7 @@ def peaks_preprocessed(spark, d):
 
 SQL["peaks_preprocessed"] = f"with {RAWPK}, " + (
     "w as (select 300 * 2000.0 / 65535 * 2 w), cut as (select spec_id, 0.02 * coalesce((list(intensity order by intensity desc) filter (where mz >= 160 and not " + NEAR.format(p=0) + "))[2], 0) cut from rawpk group by 1) "
-    "select spec_id, round(mz, 4) mz, round(intensity, 6) intensity from rawpk a join cut using (spec_id), w where intensity >= cut and mz <= 2000 and mz >= 160 and not " + NEAR.format(p=PROTON) + " "
+    "select spec_id, round(mz, 4) mz, round(intensity, 11) intensity from rawpk a join cut using (spec_id), w where intensity >= cut and mz <= 2000 and mz >= 160 and not " + NEAR.format(p=PROTON) + " "
     "and not exists (select 1 from rawpk b where b.spec_id = a.spec_id and b.mz > a.mz - w and b.mz <= a.mz + w and (b.intensity > a.intensity or (b.intensity = a.intensity and b.mz < a.mz)))"
 )
 
@@ -506,9 +506,9 @@ def neighbor_lists(spark, d):
 
 for _p, _mean in ((0, "case when min(abs({x})) > 0 then exp(avg(ln(nullif(abs({x}), 0)))) else 0 end"), (-1, "case when min(abs({x})) > 0 then 1 / avg(1 / nullif(abs({x}), 0)) else 0 end")):
     _n = "pnorm_geometric" if _p == 0 else "pnorm_harmonic"
-    QUERIES[_n] = lambda spark, d, p=_p: metrics.p_norm(*_vectors(spark, d), p=p).select("a", "b", r6("similarity", "similarity"))
+    QUERIES[_n] = lambda spark, d, p=_p: metrics.p_norm(*_vectors(spark, d), p=p).select("a", "b", r6("similarity", "similarity", 9))
     SQL[_n] = sql(
-        f"select a, b, round(1 - coalesce(d / nullif(n + m, 0), 0), 6) similarity from (select a.spec_id a, b.spec_id b, {_mean.format(x='(a.x - b.x)')} d, {_mean.format(x='a.x')} n, {_mean.format(x='b.x')} m from qv a join vec b using (slot) group by 1, 2)", "vec", "qv"
+        f"select a, b, round(1 - coalesce(d / nullif(n + m, 0), 0), 9) similarity from (select a.spec_id a, b.spec_id b, {_mean.format(x='(a.x - b.x)')} d, {_mean.format(x='a.x')} n, {_mean.format(x='b.x')} m from qv a join vec b using (slot) group by 1, 2)", "vec", "qv"
     )
 
 
