@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from . import proxies as P
 from .functions import scalar
 from .operators import annotation, encode, metrics, score, stats, timeseries, vector_index
-from .plans.config import PROTON, request
-from .queries import QUERIES, SQL, VECTOR_SLOTS, _neighbors, _vectors, query, r6, sql
-from .sources import psms, spectra
+from .plans.config import PROTON
+from .queries import QUERIES, SQL, _neighbors, _scored, _vectors, query, r6, sql
+from .sources import psms, sinks, spectra
 
 # --- masses, peptides, names ------------------------------------------------------------------
 
@@ -303,8 +303,6 @@ def neighbors_stored(spark, d):
 )
 def neighbors_cached(spark, d):
     """Stored for more neighbours and a looser limit, read for three and a stricter one; results of another archive or limit do not serve."""
-    from .queries import _scored
-
     near = score.true_neighbors(_scored(spark, d), 0.1, 10)
     lists = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "idx", "score"))).alias("l"))
     tnn = F.transform("l", lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score")))
@@ -497,8 +495,6 @@ def candidate_scores_unmasked(spark, d):
 
 @query("select query_id, idx, rank::int rank from nn", "nn")
 def neighbor_lists(spark, d):
-    from .sources import sinks
-
     path = _scratch(spark, "lists")
     sinks.write_neighbor_lists(_neighbors(spark, d), path)
     return sinks.read_neighbor_lists(spark, path).select("query_id", "idx", "rank")
@@ -676,9 +672,7 @@ SQL["ivf_stored_models"] = IVF + "select query_id, idx, 0 index_no, rank::int ra
 
 
 def _scratch(spark, name: str) -> str:
-    from .sources.sinks import shared_folder
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{sinks.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _spectra(spark, d) -> DataFrame:
@@ -824,8 +818,6 @@ def read_pepxml(spark, d):
 @query("select spec_id, rank::int rank, bin::int bin, w::int w from peaks where bin > 0", "peaks")
 def read_compact(spark, d):
     """Compact records written as one file and read again: the record number names the spectrum."""
-    from .sources import sinks
-
     p = P.peaks(spark, d).where("bin > 0")
     # weights are places in a record, so gaps of dropped peaks are kept by ranks of the dense record
     dense = encode.to_compact(p.select("spec_id", "rank", "bin")).withColumnRenamed("bins", "b")
@@ -881,6 +873,4 @@ def requests(spark, d):
 
 @query("select file_id, sum(count(*)) over (order by file_id) - 1 as last from gt group by 1", "gt")
 def scans_combined(spark, d):
-    from .sources import sinks
-
     return sinks.combined_scans(P.ground_truth(spark, d)).select("file_id", F.col("last").cast("decimal(38,0)").alias("last"))
