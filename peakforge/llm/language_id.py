@@ -14,19 +14,17 @@ language only for training.
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, read, sampled_by_key, slices
 
-#: What is alphanumeric but neither a letter nor a decimal digit, as superscripts, fractions and Roman numerals.
-OTHER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{OTHER}]+")
+#: Letters only: no digits, superscripts, fractions or Roman numerals.
+LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 4
 KNOWN_CACHE = 200_000
 
