@@ -411,12 +411,12 @@ def scan_deviation(spark, d):
     return metrics.scan_deviation(p, 5.0).select("n", r6("mean", "mean"), r6("std", "std"))
 
 
-@query("select query_id, idx, round(delta, 4) delta, n::bigint n, round(weight, 4) weight from (select query_id, idx, delta, count(*) over w n, sum(ww) over w weight from (select query_id, idx, (b.bin - a.bin)::double delta, a.w * b.w ww from nn join peaks a on a.spec_id = query_id join peaks b on b.spec_id = idx where nn.rank <= 2) window w as (partition by query_id, idx order by delta range between current row and 2 following)) where n > 2 and weight > 4000", "nn", "peaks")
+@query("select query_id, idx, round(delta, 4) delta, n::bigint n, weight::bigint weight from (select query_id, idx, delta, count(*) over w n, sum(ww) over w weight from (select query_id, idx, (b.bin - a.bin)::double delta, a.w * b.w ww from nn join peaks a on a.spec_id = query_id join peaks b on b.spec_id = idx where nn.rank <= 2) window w as (partition by query_id, idx order by delta range between current row and 2 following)) where n > 2 and weight > 4000", "nn", "peaks")
 def delta_mass(spark, d):
     near, p = _neighbors(spark, d, 2).select("query_id", "idx"), P.peaks(spark, d)
     q = p.join(near.select(F.col("query_id").alias("spec_id")).distinct(), "spec_id", "left_semi").select(F.col("spec_id").alias("query_id"), F.col("bin").cast("double").alias("mz"), "w")
     c = near.join(p.select(F.col("spec_id").alias("idx"), F.col("bin").cast("double").alias("mz"), "w"), "idx")
-    return score.delta_mass(q, c, 2.0, 4000, 2).select("query_id", "idx", r6("delta", "delta", 4), "n", r6("weight", "weight", 4))
+    return score.delta_mass(q, c, 2.0, 4000, 2).select("query_id", "idx", r6("delta", "delta", 4), "n", "weight")
 
 
 @query("select query_id, idx, 'query' side, a.bin::int bin from nn join peaks a on a.spec_id = query_id where nn.rank <= 2 and not exists (select 1 from peaks b where b.spec_id = idx and abs(b.bin - a.bin) <= 2) union all select query_id, idx, 'candidate', b.bin::int from nn join peaks b on b.spec_id = idx where nn.rank <= 2 and not exists (select 1 from peaks a where a.spec_id = query_id and abs(b.bin - a.bin) <= 2)", "nn", "peaks")
@@ -714,7 +714,7 @@ def read_mgf(spark, d):
     return _read_back(spectra.read_mgf(spark, _written(spark, s.select("spec_id", value.alias("value")), "mgf")))
 
 
-@query(READ.format(scan="idx + 1"))
+@query(READ.format(scan="(idx + 1)"))
 def read_mgf_ordinals(spark, d):
     """Titles without scans; the file is read by many tasks."""
     s = _spectra(spark, d)
@@ -722,7 +722,7 @@ def read_mgf_ordinals(spark, d):
     return _read_back(spectra.read_mgf(spark, _written(spark, s.select("spec_id", value.alias("value")), "mgf")))
 
 
-@query(READ.format(scan="spec_id + 1"))
+@query(READ.format(scan="(spec_id + 1)"))
 def read_sptxt(spark, d):
     s = _spectra(spark, d)
     value = F.concat(
@@ -871,6 +871,6 @@ def requests(spark, d):
     return spark.createDataFrame([(k, x.topn, x.nprobe) for k, x in found], "id int, topn int, nprobe int")
 
 
-@query("select file_id, sum(count(*)) over (order by file_id) - 1 as last from gt group by 1", "gt")
+@query("select file_id, (sum(count(*)) over (order by file_id) - 1)::bigint as last from gt group by 1", "gt")
 def scans_combined(spark, d):
-    return sinks.combined_scans(P.ground_truth(spark, d)).select("file_id", F.col("last").cast("decimal(38,0)").alias("last"))
+    return sinks.combined_scans(P.ground_truth(spark, d))
