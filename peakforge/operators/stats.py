@@ -93,7 +93,7 @@ def p_value_spread(p_values: DataFrame, *keys: str) -> DataFrame:
     return p_values.groupBy(*keys).agg(F.avg("p").alias("p"), F.stddev_pop("p").alias("p_std"))
 
 
-def running(rows: DataFrame, column: str, sums: dict[str, str], descending: bool = False, buckets: int = 256) -> DataFrame:
+def running(rows: DataFrame, column: str, sums: dict[str, str], descending: bool = False, buckets: int = 64) -> DataFrame:
     """rows with, for each name, the sum of a column over the rows up to and with this one, and name_total over all.
 
     column: a number that is distinct and not null. Its quantiles, a row of at most
