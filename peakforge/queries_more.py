@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from . import proxies as P
 from .functions import scalar
 from .operators import annotation, encode, metrics, score, stats, timeseries, vector_index
-from .plans.config import PROTON
+from .plans.archive import Archive
+from .plans.config import PROTON, ArchiveConfig
 from .queries import QUERIES, SQL, _neighbors, _scored, _vectors, query, r6, sql
 from .sources import psms, sinks, spectra
 
@@ -874,3 +875,35 @@ def requests(spark, d):
 @query("select file_id, (sum(count(*)) over (order by file_id) - 1)::bigint as last from gt group by 1", "gt")
 def scans_combined(spark, d):
     return sinks.combined_scans(P.ground_truth(spark, d))
+
+
+# --- an archive ---------------------------------------------------------------------------------------------
+
+
+def _archive(spark, d) -> Archive:
+    archive = Archive(spark, _scratch(spark, "archive"), ArchiveConfig(tolerance=P.TOLERANCE))
+    p = P.peaks(spark, d)
+    # two commits, as an archive grows
+    archive.commit(append={"peaks": p.where("spec_id % 2 = 0")})
+    archive.commit(append={"peaks": p.where("spec_id % 2 = 1")})
+    return archive
+
+
+@query("select query_id, idx, rank::int rank, dp::bigint dp, round(dist, 6) dist from nn", "nn")
+def archive_search(spark, d):
+    """The whole archive is scored."""
+    a = _archive(spark, d)
+    return a.search(P.queries_of(a.table("peaks")), exhaustive=True).select("query_id", "idx", "rank", "dp", r6("dist", "dist"))
+
+
+@query(
+    "select query_id, idx, rank::int rank, dp::bigint dp, round(dist, 6) dist from (select *, row_number() over (partition by query_id order by dist, idx) rank from scored where n_peaks > 6 and idx % 7 = query_id % 7 and idx % 5 <> 0) where rank <= 10",
+    "scored",
+)
+def archive_rescored(spark, d):
+    """Candidates, as an index proposes them, less those of a block list, are scored exactly."""
+    a = _archive(spark, d)
+    p = a.table("peaks")
+    q, ids = P.queries_of(p), p.select(F.col("spec_id").alias("idx")).distinct()
+    pairs = q.select("query_id").distinct().withColumn("k", F.col("query_id") % 7).join(ids.withColumn("k", F.col("idx") % 7), "k").select("query_id", "idx")
+    return score.top_n(a.scored(q, pairs, ids.where("idx % 5 = 0")), 10).select("query_id", "idx", "rank", "dp", r6("dist", "dist"))
