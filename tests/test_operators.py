@@ -199,3 +199,9 @@ def scaled_scores(spark, dps):
 def test_background_score_is_scaled_before_it_is_divided(spark):
     dps = [49, 57, 85, 100]  # floor(42925 * (49 / 85)) is 24744, floor(42925 * 49 / 85) is 24745
     assert [r.score for r in scaled_scores(spark, dps).orderBy("idx").collect()] == [24745, 28785, 42925, 42925]
+
+
+def test_score_histogram_of_scaled_scores(spark):
+    scores = scaled_scores(spark, [0, 49, 57, 85])
+    found = {r.k: r.n for r in stats.histogram(scores, steps=42925).collect()}  # a step is one point
+    assert found == {0: 1, 24745: 1, 28785: 1, 42925: 1}
