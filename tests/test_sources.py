@@ -107,6 +107,13 @@ def test_xml(spark, files):
     assert (a.ms_level, b.ms_level, b.precursor_mz, b.charge, b.rt, b.ce, peaks(b)) == (1, 2, 600.5, 2, 2.5, "35", [(100.5, 1.0), (200.5, 2.0)])
 
 
+def test_mzxml_times_with_an_exponent(spark, tmp_path):
+    times = {1: "PT1.0E7S", 2: "PT2.25000025E7S", 3: "PT1.5e-4S", 4: "PT12S"}
+    (tmp_path / "f.mzXML").write_text("<mzXML>" + "".join(f'<scan num="{n}" msLevel="2" retentionTime="{t}"><peaks precision="32"></peaks></scan>' for n, t in times.items()) + "</mzXML>")
+    found = {r.scan: r.rt for r in spectra.read_spectra(spark, f"{tmp_path}/f.mzXML").collect()}
+    assert found == {1: 1.0e7, 2: 22500002.5, 3: 1.5e-4, 4: 12.0}
+
+
 def test_scanlist_and_files(spark, files):
     assert [r.scan for r in spectra.read_spectra(spark, f"{files}/e.scanlist").collect()] == [7]
     found = [r.path.rsplit("/", 1)[1] for r in spectra.find_files(spark, str(files), [".MZML", ".mzxml"]).collect()]
