@@ -77,3 +77,12 @@ def test_searches_deal_out_no_hits(spark, sf, monkeypatch, name):
     monkeypatch.setattr(proxies, "peaks", lambda *a, f=proxies.peaks: stored.append(1) or f(*a))
     queries.QUERIES[name](spark, sf)
     assert len(stored) == 1  # peaks are written once
+
+
+def test_scan_deviation_joins_scans_not_peaks(spark):
+    peaks = {0: [1.0, 4.0, 9.5, 30.0], 1: [2.0, 7.0, 35.5], 2: [], 3: [7.0]}
+    df = spark.createDataFrame([(s, m) for s, x in peaks.items() for m in x], "scan_no bigint, mz double")
+    found = metrics.scan_deviation(df, 5.0)
+    diffs = [1.0, -2.0, -2.5]  # 1 to 2, 4 to 2, 9.5 to 7; 30 has none
+    assert found.first().n == 3 and abs(found.first()["mean"] - sum(diffs) / 3) < 1e-12
+    assert "explode" not in found._jdf.queryExecution().analyzed().toString()
