@@ -86,3 +86,12 @@ def test_scan_deviation_joins_scans_not_peaks(spark):
     diffs = [1.0, -2.0, -2.5]  # 1 to 2, 4 to 2, 9.5 to 7; 30 has none
     assert found.first().n == 3 and abs(found.first()["mean"] - sum(diffs) / 3) < 1e-12
     assert "explode" not in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("name", ["candidate_scores"])
+def test_given_pairs_are_not_scored_row_by_row(spark, sf, monkeypatch, name):
+    def row_by_row(*_):
+        raise AssertionError("a pair is a row of two arrays")
+
+    monkeypatch.setattr(score, "pair_dp", row_by_row)
+    queries.QUERIES[name](spark, sf)
