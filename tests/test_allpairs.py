@@ -88,7 +88,7 @@ def test_scan_deviation_joins_scans_not_peaks(spark):
     assert "explode" not in found._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("name", ["candidate_scores"])
+@pytest.mark.parametrize("name", ["candidate_scores", "candidate_scores_unmasked"])
 def test_given_pairs_are_not_scored_row_by_row(spark, sf, monkeypatch, name):
     def row_by_row(*_):
         raise AssertionError("a pair is a row of two arrays")
