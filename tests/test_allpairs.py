@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,15 +57,35 @@ def test_listed_pairs_score_as_among_all_pairs(spark, tolerance, once):
     assert rows(allpairs.listed_dp(pairs, q, c, tolerance, once)) == rows(want)
 
 
+@pytest.mark.parametrize("held", [1 << 26, 2000])
+@pytest.mark.parametrize("tolerance", [0, 1, 15])
+def test_all_pairs_as_by_a_join(spark, monkeypatch, tolerance, held):
+    monkeypatch.setattr(allpairs, "QUERY_BYTES", held)  # several blocks
+    q, c = frames(spark, spectra(tolerance))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "idx", "dp").collect()))
+    assert rows(allpairs.all_dp(q, c, tolerance)) == rows(score.exact_dp(q, c, tolerance))
+    assert rows(allpairs.all_dp(q, c, tolerance, once=False)) == rows(score.background_dp(q, c, tolerance))
+
+
+def test_lists_of_ids_are_cut(monkeypatch):
+    monkeypatch.setattr(allpairs, "HELD", 3)
+    n, ids = np.array([1, 5, 2]), np.array([7, 10, 11, 12, 13, 14, 20, 21])  # one class is more than a batch may hold
+    out = list(allpairs._listed(np.array([0, 2, 1, 1, 0]), n, ids, place=np.arange(5)))
+    assert len(out) > 1
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [[7], [20, 21], [10, 11, 12, 13, 14], [10, 11, 12, 13, 14], [7]]
+    assert [x for b in out for x in b.column("place").to_pylist()] == [0, 1, 2, 3, 4]
+
+
 def test_empty_query_set(spark):
     q, c = frames(spark, spectra(1))
     assert allpairs.nearest(q.where("false"), c, 1, 3).count() == 0
     assert allpairs.background_counts(q.where("false"), c, 1)[0].count() == 0
+    assert allpairs.all_dp(q.where("false"), c, 1).count() == allpairs.all_dp(q, c.where("false"), 1).count() == 0
     assert allpairs.listed_dp(c.select("idx", F.col("idx").alias("query_id")), q.where("false"), c, 1).count() == 0
 
 
 #: Queries of which no hit of peaks may be dealt out: what they write for exchanges stays near what the peaks take.
-SEARCHES = ["topn_neighbors", "graph_links", "node_groups", "rank_histogram", "nearest_other", "p_value_spread", "rank_recall", "neighbor_lists", "archive_search", "true_nn_recall", "tophit_pvalue", "convolution", "unmatched_peaks", "pairwise_edges", "delta_mass"]
+SEARCHES = ["topn_neighbors", "graph_links", "node_groups", "rank_histogram", "nearest_other", "p_value_spread", "rank_recall", "neighbor_lists", "archive_search", "true_nn_recall", "tophit_pvalue", "convolution", "unmatched_peaks", "pairwise_edges", "delta_mass", "exact_dp_pairs"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
