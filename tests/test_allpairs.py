@@ -85,7 +85,7 @@ def test_empty_query_set(spark):
 
 
 #: Queries of which no hit of peaks may be dealt out: what they write for exchanges stays near what the peaks take.
-SEARCHES = ["topn_neighbors", "graph_links", "node_groups", "rank_histogram", "nearest_other", "p_value_spread", "rank_recall", "neighbor_lists", "archive_search", "true_nn_recall", "tophit_pvalue", "convolution", "unmatched_peaks", "pairwise_edges", "delta_mass", "exact_dp_pairs"]
+SEARCHES = ["topn_neighbors", "graph_links", "node_groups", "rank_histogram", "nearest_other", "p_value_spread", "rank_recall", "neighbor_lists", "archive_search", "true_nn_recall", "tophit_pvalue", "convolution", "unmatched_peaks", "pairwise_edges", "delta_mass", "exact_dp_pairs", "score_histogram"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
