@@ -100,6 +100,57 @@ def test_searches_deal_out_no_hits(spark, sf, monkeypatch, name):
     assert len(stored) == 1  # peaks are written once
 
 
+def brute(a, b, name):
+    """The similarity of two vectors, slot by slot."""
+    both = sorted(a.keys() & b.keys())
+    if name == "cosine":
+        return sum(a[s] * b[s] for s in both) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+    if name == "pearson":
+        return (np.corrcoef([a.get(s, 0) for s in range(30)], [b.get(s, 0) for s in range(30)])[0, 1] + 1) / 2
+    if name == "jaccard":
+        return len(both) / len(a.keys() | b.keys())
+    if name == "p_norm":
+        norm = lambda x: sum(abs(v) ** 2 for v in x) ** 0.5
+        return 1 - norm(a.get(s, 0) - b.get(s, 0) for s in a.keys() | b.keys()) / (norm(a.values()) + norm(b.values()))
+
+    def mean(x):
+        x = [abs(v) for v in x]
+        return 0 if min(x) == 0 else float(np.exp(np.mean(np.log(x)))) if name == "geometric" else 1 / float(np.mean(1 / np.array(x)))
+
+    both_means = mean(a[s] for s in both) + mean(b[s] for s in both)
+    return 1 - (mean(a[s] - b[s] for s in both) / both_means if both_means else 0)
+
+
+METRICS = {"cosine": metrics.cosine, "pearson": lambda *v, **kw: metrics.pearson(*v, 30, **kw), "jaccard": metrics.jaccard, "p_norm": metrics.p_norm, "geometric": lambda *v, **kw: metrics.p_norm(*v, p=0, **kw), "harmonic": lambda *v, **kw: metrics.p_norm(*v, p=-1, **kw)}
+
+
+@pytest.mark.parametrize("held", [1 << 26, 300])
+@pytest.mark.parametrize("name", METRICS)
+def test_similarities_are_those_of_each_pair(spark, monkeypatch, name, held):
+    monkeypatch.setattr(allpairs, "QUERY_BYTES", held)  # several blocks
+    rng = random.Random(name)
+    own = {i: {s: rng.choice([-2.5, -1.0, 0.5, 1.0, 3.0]) for s in rng.sample(range(30), rng.randint(2, 9))} for i in range(12)}
+    df = spark.createDataFrame([(i, s, x) for i, v in own.items() for s, x in v.items()], "spec_id bigint, slot int, x double")
+    left = df.where("spec_id % 3 = 0")
+    want = {(i, j): brute(own[i], own[j], name) for i in own if i % 3 == 0 for j in own if own[i].keys() & own[j].keys()}
+    assert {(r.a, r.b): r.similarity for r in METRICS[name](left, df).collect()} == pytest.approx(want)
+    # vectors that stand for several: each pair of ids comes, and no other
+    alike = df.select("spec_id").distinct().selectExpr("spec_id", "array(spec_id, spec_id + 100) ids")
+    found = METRICS[name](left, df, members=(alike, alike), digits=6).collect()
+    assert len(found) == 4 * len(want)
+    assert {(r.a, r.b): r.similarity for r in found} == pytest.approx({(i + k, j + m): x for (i, j), x in want.items() for k in (0, 100) for m in (0, 100)}, abs=1e-6)
+    assert METRICS[name](left.where("false"), df).count() == METRICS[name](left, df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cosine_bins"])
+def test_similarities_deal_out_no_hits(spark, sf, monkeypatch, name):
+    def hits(*_):
+        raise AssertionError("hits are rows")
+
+    monkeypatch.setattr(metrics, "meet", hits)
+    queries.QUERIES[name](spark, sf)
+
+
 def test_scan_deviation_joins_scans_not_peaks(spark):
     peaks = {0: [1.0, 4.0, 9.5, 30.0], 1: [2.0, 7.0, 35.5], 2: [], 3: [7.0]}
     df = spark.createDataFrame([(s, m) for s, x in peaks.items() for m in x], "scan_no bigint, mz double")
