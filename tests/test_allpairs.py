@@ -142,7 +142,7 @@ def test_similarities_are_those_of_each_pair(spark, monkeypatch, name, held):
     assert METRICS[name](left.where("false"), df).count() == METRICS[name](left, df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cosine_bins", "pearson_bins", "pnorm_bins", "jaccard_bins"])
+@pytest.mark.parametrize("name", ["cosine_bins", "pearson_bins", "pnorm_bins", "jaccard_bins", "pnorm_geometric"])
 def test_similarities_deal_out_no_hits(spark, sf, monkeypatch, name):
     def hits(*_):
         raise AssertionError("hits are rows")
