@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -167,3 +168,33 @@ def test_given_pairs_are_not_scored_row_by_row(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(score, "pair_dp", row_by_row)
     queries.QUERIES[name](spark, sf)
+
+
+def apart(seed, n, peaks=30, bins=200):
+    """Lists of n spectra whose peaks are apart and whose weights differ, as bin * 2^32 + w."""
+    rng = np.random.default_rng(seed)
+    return [np.sort((3 * rng.choice(bins, peaks, replace=False) + rng.integers(1, 3)) << 32 | rng.permutation(50)[:peaks] + 1) for _ in range(n)]
+
+
+def test_long_lists_add_up_without_a_row_a_hit(monkeypatch):
+    block = allpairs.Block.of(vars(allpairs.Block([np.array([i]) for i in range(9000)], apart(1, 9000), 1)))
+    p = np.concatenate(apart(2, 50))
+    parts = 50, np.repeat(np.arange(50), 30), p >> 32, p & 0xFFFFFFFF
+    tracemalloc.start()
+    try:
+        dp = block.dp(*parts, True)
+        assert tracemalloc.get_traced_memory()[1] < 2 * dp.nbytes  # 22 times the result when each of 2 million hits was a row
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(allpairs, "LONG", 1 << 30)
+    assert (block.dp(*parts, True) == dp).all() and (block.dp(*parts, False) == dp).all()
+
+
+@pytest.mark.parametrize("min_score", [None, 0, 4292])
+def test_no_pair_within_the_limit_is_out_of_reach(min_score):
+    cosine = np.concatenate([np.random.default_rng(3).random(100000), 1 - np.logspace(-17, -5, 2000), np.arange(0, 42926) / 42925])
+    key = allpairs._distance(cosine) if min_score is None else -np.minimum(np.floor(42925 * cosine), 42925)
+    some = key < -(min_score or 0) if min_score is not None else cosine > 0
+    assert (cosine >= allpairs.reach(key, min_score))[some].all()  # with a limit that the pair just meets
+    assert (cosine >= allpairs.reach(np.full(len(key), np.inf), min_score))[some].all()
+    assert (allpairs.reach(np.array([np.inf, 0.0, -1.0]), min_score) > 0).all()
