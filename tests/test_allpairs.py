@@ -198,3 +198,28 @@ def test_no_pair_within_the_limit_is_out_of_reach(min_score):
     assert (cosine >= allpairs.reach(key, min_score))[some].all()  # with a limit that the pair just meets
     assert (cosine >= allpairs.reach(np.full(len(key), np.inf), min_score))[some].all()
     assert (allpairs.reach(np.array([np.inf, 0.0, -1.0]), min_score) > 0).all()
+
+
+@pytest.mark.parametrize("once,held,rows", [(True, 1 << 26, 1 << 20), (False, 1 << 26, 5), (True, 20000, 5)])
+def test_pairs_of_a_group_score_as_among_all_pairs(spark, monkeypatch, once, held, rows):
+    monkeypatch.setattr(allpairs, "QUERY_BYTES", held)  # several blocks
+    monkeypatch.setattr(allpairs, "HELD", rows)
+    q, c = (x.withColumn("k", F.when(F.col(i) % 11 > 0, F.col(i) % 7)) for x, i in zip(frames(spark, spectra(5)), ("query_id", "idx")))  # some are in no group
+    both = lambda df: sorted(map(tuple, df.select("query_id", "idx", "dp").collect()))
+    want = (score.exact_dp if once else score.background_dp)(q, c, 1).where("query_id % 7 = idx % 7 and query_id % 11 > 0 and idx % 11 > 0")
+    assert both(allpairs.grouped_dp(q, c, 1, once)) == both(want)
+    assert allpairs.grouped_dp(q.where("false"), c, 1, once).count() == 0
+
+
+def test_rows_of_pairs_of_classes_are_cut(monkeypatch):
+    monkeypatch.setattr(allpairs, "HELD", 4)
+    n_ids, ids, n_own, own = np.array([2, 6]), np.array([1, 2, 11, 12, 13, 14, 15, 16]), np.array([1, 3]), np.array([100, 200, 201, 202])
+    out = list(allpairs._rows(np.array([0, 0, 1]), n_ids, ids, np.array([0, 1, 1]), n_own, own, np.array([7, 8, 9])))
+    assert max(b.num_rows for b in out) <= 6 and len(out) > 3
+    got = sorted((r["query_id"], r["idx"], r["dp"]) for b in out for r in b.to_pylist())
+    assert got == sorted([(100, i, 7) for i in (1, 2)] + [(x, i, 8) for x in (200, 201, 202) for i in (1, 2)] + [(x, i, 9) for x in (200, 201, 202) for i in range(11, 17)])
+
+
+def test_no_pair_is_listed_for_candidate_scores(spark, sf):
+    plan = queries.QUERIES["candidate_scores"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
