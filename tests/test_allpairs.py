@@ -3,11 +3,12 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from peakforge import proxies, queries, queries_more  # noqa: F401  it adds to the same tables
-from peakforge.operators import allpairs, metrics, score
+from peakforge.operators import allpairs, metrics, score, stats
 
 
 def spectra(seed, n=40, bins=120, most=50):
@@ -223,3 +224,68 @@ def test_rows_of_pairs_of_classes_are_cut(monkeypatch):
 def test_no_pair_is_listed_for_candidate_scores(spark, sf):
     plan = queries.QUERIES["candidate_scores"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("tolerance,held", [(0, 1 << 26), (1, 1 << 26), (15, 2000)])
+def test_counts_of_a_query_are_made_in_one_task(spark, monkeypatch, tolerance, held):
+    monkeypatch.setattr(allpairs, "QUERY_BYTES", held)  # several blocks
+    monkeypatch.setattr(allpairs, "COUNT_BYTES", 3 * 4 * 42926)  # three queries a task
+    q, c = frames(spark, spectra(tolerance))
+    qn, cn = norms(q, c)
+    want = Counter((r.query_id, r.score) for r in score.with_background_score(score.background_dp(q, c, tolerance), qn, cn).collect())
+    told = lambda s, n: (s, n)
+    counts, _ = allpairs.background_rows(q, c, tolerance, told, "score bigint, n bigint", each=True)
+    assert {(r.query_id, r.score): r.n for r in counts.collect()} == want
+    assert counts.rdd.getNumPartitions() >= 4  # groups are tasks of their own
+    assert "Exchange" not in allpairs.background_counts(q, c, tolerance)[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_holds_counts_of_its_queries_only(monkeypatch):
+    monkeypatch.setattr(allpairs, "LISTED", 1000)  # a task would else list as many spectra
+    block = allpairs.Block([np.array([i]) for i in range(60)], apart(1, 60), 1)
+    p = apart(2, 4000)
+    batches = [pa.RecordBatch.from_pydict({"ids": [[i] for i in range(a, a + 500)], "p": [x.tolist() for x in p[a : a + 500]]}) for a in range(0, 4000, 500)]
+    part = allpairs.Block.of(vars(block.part(20, 30)))
+    tracemalloc.start()
+    try:
+        counts = allpairs._score_counts(part, batches)
+        assert tracemalloc.get_traced_memory()[1] < counts.nbytes + (8 << 20)
+    finally:
+        tracemalloc.stop()
+    assert counts.shape == (10, 42926)
+    assert (counts == allpairs._score_counts(allpairs.Block.of(vars(block)), batches)[20:30]).all()
+    dp = allpairs.Block.of(vars(block)).dp(4000, np.repeat(np.arange(4000), 30), np.concatenate(p) >> 32, np.concatenate(p) & 0xFFFFFFFF, False)
+    assert counts.sum(axis=1).tolist() == (dp > 0).sum(axis=0)[20:30].tolist()
+
+
+def test_histograms_and_tails_of_counts(spark):
+    rng = np.random.default_rng(4)
+    own = {i: np.sort(rng.choice(42926, n, replace=False)) for i, n in enumerate((1, 2, 300, 5000, 20000))} | {9: np.arange(0, 3)}
+    many = {i: rng.integers(1, 40, len(s)) for i, s in own.items()}
+    df = spark.createDataFrame([(i, int(x), int(y)) for i in own for x, y in zip(own[i], many[i])], "query_id bigint, score int, n bigint")
+    hist = stats.histogram(df, count="n")
+    rows = lambda x, *names: sorted(tuple(r) for r in x.select("query_id", *names).collect())
+    assert rows(hist, "k", "n", "boundary") == sorted((i, *r) for i in own for r in zip(*(c.tolist() for c in stats.counted_histogram(own[i], many[i]))))
+    tail = stats.tail_points(stats.survival(hist))
+    assert rows(tail, "x", "total") == sorted((i, x, t) for i in own for x, _, t in zip(*(c.tolist() for c in stats.counted_tail(own[i], many[i]))))
+    ys = sorted((i, x, float(np.log10(s))) for i in own for x, s, _ in zip(*(c.tolist() for c in stats.counted_tail(own[i], many[i]))))
+    assert np.allclose(np.array(rows(tail, "x", "y")), np.array(ys), rtol=0, atol=1e-12)
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in (*stats.counted_histogram(none, none), *stats.counted_tail(none, none))] == [0] * 6
+
+
+def test_scored_pairs_as_by_a_join(spark):
+    q, c = frames(spark, spectra(7))
+    qn, cn = norms(q, c)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "idx", "dp", "score").collect()))
+    assert rows(allpairs.all_dp(q, c, 1, once=False, scored=True)) == rows(score.with_background_score(score.background_dp(q, c, 1), qn, cn))
+    assert allpairs.all_dp(q.where("false"), c, 1, once=False, scored=True).columns == ["query_id", "idx", "dp", "score"]
+
+
+@pytest.mark.parametrize("name", ["background_scores", "survival_tail", "tail_regression"])
+def test_background_scores_deal_out_no_hits(spark, sf, monkeypatch, name):
+    def hits(*_):
+        raise AssertionError("hits are rows")
+
+    monkeypatch.setattr(score, "hits", hits)
+    queries.QUERIES[name](spark, sf)
