@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakforge import proxies, queries, queries_more  # noqa: F401  it adds to the same tables
-from peakforge.operators import allpairs, metrics, score, stats
+from peakforge.operators import allpairs, encode, metrics, score, stats
 
 
 def spectra(seed, n=40, bins=120, most=50):
@@ -289,3 +289,21 @@ def test_background_scores_deal_out_no_hits(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(score, "hits", hits)
     queries.QUERIES[name](spark, sf)
+
+
+def test_vectors_of_classes_are_binned_peaks(spark):
+    _, c = frames(spark, spectra(8, bins=60))
+    c = c.withColumn("bin", F.when(F.col("bin") > 55, F.col("bin") + 10).otherwise(F.col("bin")))  # some beyond the last slot
+    found = {i: dict(zip(r.s, r.x)) for r in allpairs.class_vectors(allpairs.classes(c, "idx"), 60).collect() for i in r.ids}
+    want = {}
+    for r in encode.binned(c, F.col("bin"), F.col("w"), "idx", 60).collect():
+        want.setdefault(r.idx, {})[r.slot] = r.x
+    assert found == want and max(s for v in found.values() for s in v) == 59
+    assert all(r.s == sorted(r.s) for r in allpairs.class_vectors(allpairs.classes(c, "idx"), 60).collect())
+
+
+@pytest.mark.parametrize("name", ["cosine_bins", "pearson_bins", "pnorm_bins", "jaccard_bins", "pnorm_geometric", "pnorm_harmonic", "exact_dp_pairs", "background_scores"])
+def test_pairs_deal_out_classes_only(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Exchange ") == 2  # of peaks by id and of lists by p: neither slots nor what is made of the lists
+    assert "SortMergeJoin" not in plan
